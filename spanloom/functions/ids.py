@@ -21,7 +21,13 @@ def norm_parent(c: Column | str) -> Column:
     return F.when(F.translate(v, "0", "") != "", v)
 
 
+def floor_div(x: Column | str, by: int) -> Column:
+    """Whole-number division that rounds down, also below zero, without doubles."""
+    x = F.col(x) if isinstance(x, str) else x
+    n = F.lit(by).cast("long")
+    return F.call_function("div", x - F.pmod(x, n), n)
+
+
 def utc_day(ns: Column | str) -> Column:
     """YYYY-MM-DD of nanoseconds since 1970, whatever the session's time zone."""
-    ns = F.col(ns) if isinstance(ns, str) else ns
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ns / F.lit(86_400_000_000_000)).cast("int")), "yyyy-MM-dd")
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), floor_div(ns, 86_400_000_000_000).cast("int")), "yyyy-MM-dd")

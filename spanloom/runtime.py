@@ -20,6 +20,7 @@ def session(app: str = "spanloom", cpus: str = "*", **conf: str) -> SparkSession
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     for k, v in (base | conf).items():
@@ -57,8 +58,9 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def _forget(path: str) -> None:
-    if path.startswith("file:"):
-        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    local = path.removeprefix("file://").removeprefix("file:")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
