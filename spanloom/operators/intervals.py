@@ -22,8 +22,9 @@ def _sliced(iv: DataFrame, slice_rows: int) -> DataFrame:
     """
     size = iv.groupBy("entity").agg(F.count(F.lit(1)).alias("k"), F.min("start").alias("lo"), F.max("start").alias("hi")).where(F.col("k") > slice_rows)
     iv = iv.join(size, "entity", "left")
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / (2 * F.ceil(F.col("k") / F.lit(slice_rows)))))
-    iv = iv.withColumn("slice", F.coalesce(F.floor((F.col("start") - F.col("lo")) / width), F.lit(0)).cast("long"))
+    lo, hi, at = (F.col(c).cast("double") for c in ("lo", "hi", "start"))  # rounding keeps the order, and no value overflows
+    width = F.greatest(F.lit(1.0), (hi - lo) / (2 * F.ceil(F.col("k") / F.lit(slice_rows))))
+    iv = iv.withColumn("slice", F.coalesce(F.floor((at - lo) / width), F.lit(0)).cast("long"))
     ends = iv.where("k is not null").groupBy("entity", "slice").agg(F.max("end").alias("last"))
     before = W.partitionBy("entity").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carry = ends.select("entity", "slice", F.max("last").over(before).alias("carry"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from spanloom.plans import data_queries
+from spanloom.operators.search import page
+from spanloom.plans import data_queries, span_queries
+from spanloom.sources.fixtures import order_spans
 
-QUERIES = {**data_queries.QUERIES}
-SQL = {**data_queries.SQL}
+QUERIES = {**span_queries.QUERIES, **data_queries.QUERIES}
+SQL = {**span_queries.SQL, **data_queries.SQL}
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["p6_found"](spark, sf_dir)
+    """The newest server spans with an error."""
+    got = page(order_spans(spark, sf_dir), {"kind": "server", "status": "error"})
+    return got.select(*span_queries.COLS, "service_name")
