@@ -22,6 +22,11 @@ def p4_percentiles(s, d):
     return quantiles.percentiles(durations(s, d), ["name", "kind"], "duration_ns", QUANTILES)
 
 
+def p4_day_percentiles(s, d):
+    """Percentiles of each day; the summaries they come from can be put together."""
+    return quantiles.percentiles(durations(s, d), ["day", "name", "kind"], "duration_ns", QUANTILES)
+
+
 def p4_from_days(s, d):
     """The same percentiles from one summary per day, put together afterwards."""
     keys = ["day", "name", "kind"]
@@ -75,6 +80,7 @@ def p8_packed(s, d):
 
 
 QUERIES = {
+    "p4_day_percentiles": p4_day_percentiles,
     "p4_percentiles": p4_percentiles,
     "p4_from_days": p4_from_days,
     "p4_rank_check": p4_rank_check,
@@ -88,6 +94,7 @@ QUERIES = {
     "p9_leaks": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
     "p9_spans": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_items"), spans=True),
     "p10_found": lambda s, d: repeats.highly_repetitive(table(s, d, "documents")),
+    "p10_word_counts": lambda s, d: repeats.repeat_shares(table(s, d, "documents")).select("doc_id", "n_words", "n_repeated"),
     "p10_shares": lambda s, d: repeats.repeat_shares(table(s, d, "documents")),
     "p10_flagged": lambda s, d: repeats.flagged(table(s, d, "documents")).select("doc_id", "lang", "source", "n_words", "n_repeated"),
     "p10_thresholds": lambda s, d: repeats.thresholds(repeats.repeat_shares(table(s, d, "documents"))),
@@ -98,7 +105,34 @@ _KIND = "case when regexp_replace(lower(trim(kind)), '^span_kind_', '') in ('int
 _STATUS = "case when regexp_replace(lower(trim(status)), '^status_code_', '') in ('ok', 'error', 'unset') then regexp_replace(lower(trim(status)), '^status_code_', '') else 'unset' end"
 _TRACE = "nullif(lower(trim(trace_id, chr(32)||chr(9)||chr(10)||chr(13))), '')"
 
+def _words_sql(text: str, joined: bool) -> str:
+    """Words of a text in SQL; joined: without page headers and hyphens (see leaks.plain)."""
+    if joined:
+        page = r"(?m)^[^\n]{0,200}\b(?:[Pp]age|PAGE|[Ss]eite|SEITE|[Bb]latt|[Pp]\.|S\.) ?\d{1,4} ?(?:of|von|sur|de|/|OF|VON|SUR) ?\d{1,4}[^\n0-9A-Za-z_]{0,20}$"
+        text = rf"regexp_replace(regexp_replace({text}, '{page}', '', 'g'), '-\n\s*', '', 'g')"
+        hyphen = r"([\pL\pN])[-­‐‑]([\pL\pN])"
+        for _ in range(2):
+            text = rf"regexp_replace({text}, '{hyphen}', '\1\2', 'g')"
+    return rf"regexp_extract_all(lower({text}), '[\pL\pN]+')"
+
+
+_W10 = rf"""w as (select doc_id, list_transform({_words_sql("text", False)}, lambda x: case when regexp_matches(x, '\d') then '0' else x end) l from documents where text is not null and doc_id is not null),
+g as (select doc_id, unnest(range(1, len(l) - 6)) i, unnest(list_transform(range(1, len(l) - 6), lambda i: array_to_string(l[i:i + 7], ' '))) gram from w),
+f as (select doc_id, i, min(i) over (partition by doc_id, gram) first from g),
+r as (select doc_id, count(distinct p) k from (select doc_id, unnest(range(i, i + 8)) p from f where i > first) group by 1),
+s as (select w.doc_id, cast(len(l) as bigint) n_words, coalesce(k, 0) n_repeated from w left join r on r.doc_id = w.doc_id)"""
+_W9 = f"""d as (select doc_id, {_words_sql("text", True)} l from documents where text is not null and doc_id is not null),
+p as (select item_id, {_words_sql("passage", True)} l from eval_items where passage is not null and item_id is not null),
+pg as (select item_id, unnest(range(1, len(l) - 3)) i, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) gram from p where len(l) >= 5),
+dg as (select distinct doc_id, gram from (select doc_id, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) gram from d where len(l) >= 5) where gram in (select gram from pg)),
+c as (select item_id, doc_id, count(distinct w) covered from (select item_id, doc_id, unnest(range(i, i + 5)) w from pg join dg using (gram)) group by 1, 2),
+o as (select c.item_id, c.doc_id, c.covered covered_words, cast(len(p.l) as bigint) passage_words from c join p using (item_id) where 2 * c.covered >= len(p.l))"""
+
 SQL = {
+    "p9_found": f"with {_W9} select item_id, doc_id from o",
+    "p9_leaks": f"with {_W9} select * from o",
+    "p10_found": f"with {_W10} select doc_id from s where n_words > 0 and 3 * n_repeated >= n_words",
+    "p10_word_counts": f"with {_W10} select * from s",
     "p4_rank_check": f"select {_NAME} as name, {_KIND} kind, q, cast(count(*) as bigint) n, true in_bound from spans, (select unnest([0.5, 0.75, 0.9, 0.95, 0.99]::double[]) q) where duration_ns >= 0 group by 1, 2, 3",
     "p7_bound_check": f"""with v as (select {_TRACE} t, strftime(make_timestamp(start_time // 1000), '%Y-%m-%d') d, {_NAME} n, {_STATUS} s from spans where {_TRACE} is not null)
 select 'day' "level", d grp, count(distinct t) n_exact, true in_bound from v group by 2

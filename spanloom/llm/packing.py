@@ -18,6 +18,8 @@ GROUP_ITEMS = 50_000
 ROUNDS = 3
 #: A container with at least this share of its capacity unused gives its items to the exchange.
 GAP = 0.01
+#: Kinds of containers; each text is looked at for each of them.
+MOST_CLASSES = 1000
 
 _SHAPE = "pack_class string, capacity bigint, grp bigint, container string, doc_id bigint, piece bigint, tokens bigint, gap bigint, bound bigint, bins bigint"
 
@@ -107,19 +109,23 @@ def pack(sizes: DataFrame, classes: DataFrame, group_items: int = GROUP_ITEMS, r
     which several groups' items are packed anew together; the better packing is
     kept. Rounds end when every group is certified or nothing is won.
     """
-    classes = classes.where("pack_class is not null and capacity_tokens >= 1").select("pack_class", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
-    sizes = sizes.where("n_tokens > 0")
-    both = sizes.crossJoin(F.broadcast(classes))  # a few classes by definition: one row per text and class
+    rows = classes.where("pack_class is not null and capacity_tokens >= 1").select("pack_class", F.col("capacity_tokens").cast("long").alias("capacity")).distinct().limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    kinds = [F.struct(F.lit(r[0]).alias("pack_class"), F.lit(r[1]).cast("long").alias("capacity")) for r in rows]
+    none = F.array().cast("array<struct<pack_class:string,capacity:bigint>>")
+    sizes = sizes.where("n_tokens > 0").withColumn("no", F.monotonically_increasing_id())
+    both = sizes.select("doc_id", "no", F.col("n_tokens").cast("long").alias("n_tokens"), F.explode(F.array(*kinds) if kinds else none).alias("c")).select("doc_id", "no", "n_tokens", "c.*")
     cap, n = F.col("capacity"), F.col("n_tokens")
     own = F.call_function("div", n, cap)
     rest = n % cap
-    whole = both.where(n > cap).select("pack_class", "capacity", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), own - 1)).alias("piece"))
-    whole = whole.select("pack_class", "capacity", F.concat_ws("-", F.lit("w"), "doc_id", "piece", F.xxhash64(F.rand(7)).cast("string")).alias("container"), "doc_id", "piece", F.col("capacity").alias("tokens"), F.lit(0).cast("long").alias("gap"))
+    whole = both.where(n > cap).select("pack_class", "capacity", "doc_id", "no", F.explode(F.sequence(F.lit(0).cast("long"), own - 1)).alias("piece"))
+    whole = whole.select("pack_class", "capacity", F.concat_ws("-", F.lit("w"), "no", "piece").alias("container"), "doc_id", "piece", F.col("capacity").alias("tokens"), F.lit(0).cast("long").alias("gap"))
     whole = cut(whole, "whole")
-    items = both.select("pack_class", "capacity", "doc_id", F.when(n > cap, own).otherwise(0).cast("long").alias("piece"), F.when(n > cap, rest).otherwise(n).alias("tokens")).where("tokens > 0")
+    items = both.select("pack_class", "capacity", "doc_id", "no", F.when(n > cap, own).otherwise(0).cast("long").alias("piece"), F.when(n > cap, rest).otherwise(n).alias("tokens")).where("tokens > 0")
     per_class = sizes.count()
     groups = max(1, -(-per_class // group_items))
-    items = items.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    items = items.withColumn("grp", F.pmod(F.xxhash64("no"), F.lit(groups))).drop("no")
     done = _packed(items, "b")
     for r in range(1, rounds + 1):
         if groups == 1:
