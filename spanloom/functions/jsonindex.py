@@ -59,6 +59,9 @@ def index(texts: list[bytes | None]) -> Nodes:
     """Nodes of the texts that are valid JSON; the others have none. A null text
     isn't valid. A text of over 2 GB isn't supported."""
     n = len(texts)
+    if not n:
+        none = np.empty(0, np.int64)
+        return Nodes(np.empty(0, np.uint8), none, none, none, none, none, none, none, none, np.empty(0, bool))
     sizes = np.fromiter((len(t) if t is not None else 0 for t in texts), np.int64, n)
     # a comma after each text keeps tokens apart and bounds scalars
     data = np.frombuffer(b",".join(t if t is not None else b"" for t in texts) + b",", np.uint8)
@@ -70,8 +73,8 @@ def index(texts: list[bytes | None]) -> Nodes:
     quote = (data == 34) & ~escaped
     # parity of quotes within each text
     count = np.cumsum(quote)
-    base = np.concatenate([[0], count[ends]])[:-1] if n else count[:0]
-    q_text = count[ends] - base if n else count[:0]
+    base = np.concatenate([[0], count[ends]])[:-1]
+    q_text = count[ends] - base
     valid &= q_text % 2 == 0
     broken = np.repeat(~valid, sizes + 1)
     inside = ((count - np.repeat(base, sizes + 1)) % 2 == 1) & ~broken  # from the opening quote to before the closing one
@@ -107,9 +110,9 @@ def index(texts: list[bytes | None]) -> Nodes:
     run = np.cumsum(step)
     sep = np.flatnonzero(kind == 0)
     before = np.concatenate([[0], run[sep]])[:-1]
-    depth = run - before[text] if n else run
+    depth = run - before[text]
     valid &= depth[sep] == 0
-    low = np.minimum.reduceat(depth, np.concatenate([[0], sep[:-1] + 1])) if n else depth
+    low = np.minimum.reduceat(depth, np.concatenate([[0], sep[:-1] + 1]))
     valid &= low >= 0
     keep = valid[text]
     at, text, kind, stop, step, depth = (x[keep] for x in (at, text, kind, stop, step, depth))
