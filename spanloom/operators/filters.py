@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.sources.schema import PROMOTED, lookup, text
+from spanloom.sources.schema import PROMOTED, SEARCH_TEXT, lookup, text
 
 PAGE_KEYS = ("limit", "offset", "order", "count_total")
 TERM_KEYS = ("name", "service", "kind", "status", "attributes")
@@ -44,8 +44,10 @@ def split(filters: Filters) -> tuple[dict[str, Any], list[tuple[str, Any]]]:
     return page, rest
 
 
-def _name(pattern: str) -> Column:
+def _name(pattern: str, columns: set[str]) -> Column:
     p = F.lit(pattern.lower())
+    if SEARCH_TEXT in columns and "\0" not in pattern:
+        return F.contains(F.col(SEARCH_TEXT), p)
     texts = F.exists(F.map_values("attributes"), lambda v: (F.schema_of_variant(v) == "STRING") & F.contains(F.lower(text(v)), p))
     return F.contains(F.lower(F.col("name")), p) | F.coalesce(texts, F.lit(False))
 
@@ -63,7 +65,7 @@ def condition(key: str, value: Any, columns: Iterable[str]) -> Column | None:
 
     match key:
         case "name":
-            return _name(value)
+            return _name(value, columns)
         case "service":
             return attribute("service.name") == value
         case "kind" | "status" | "trace_id":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import norm_id, norm_parent, utc_day
@@ -41,9 +41,11 @@ def orphan_keys(refs: DataFrame, key: Sequence[str], period: str, targets: DataF
     some = _equal([F.lit(1)], [F.lit(1)])
     for k in key:
         some = some & F.col(k).isNotNull()
-    counted = cut(refs.where(some).groupBy(*key, F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("n")), "refs")
+    seen = Observation()
+    counted = refs.where(some).groupBy(*key, F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(counted.observe(seen, F.sum("n").alias("total")), "refs")
     targets = targets.select(*key)
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    total = seen.get["total"] or 0  # counted while writing; a repeated task could only raise it, which makes fewer keys heavy
     floor = max(1, -(-total * heavy_share // 1))
     heavy = counted.groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") > floor).select(*key)
     rows = heavy.collect() if total * heavy_share >= 1 else []  # at most 1 / heavy_share keys

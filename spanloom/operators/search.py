@@ -54,15 +54,34 @@ def page_meta(spans: DataFrame, filters: Filters) -> DataFrame:
 
 
 def query(spans: DataFrame, filters: Filters) -> Result:
-    """A page with its totals."""
-    p, _ = split(filters)
-    limit, offset = int(p.get("limit", LIMIT)), int(p.get("offset", OFFSET))
-    if p.get("count_total", True):
-        meta = page_meta(spans, filters).first()
-        return Result(page(spans, filters).collect(), meta["total"], limit, offset, meta["has_more"])
-    rows = page(spans, [*split(filters)[1], ("order", p.get("order", "desc")), ("offset", offset), ("limit", limit + 1)]).collect()
-    more = len(rows) > limit
-    rows = rows[:limit]
+    """A page with its totals.
+
+    First a look at the condition's columns and start_time alone: how many spans
+    match, and the start_time of the page's last row. Then the page itself, from
+    the row groups that reach that time; only they are read with all columns.
+    """
+    p, conds = split(filters)
+    limit, offset, order = int(p.get("limit", LIMIT)), int(p.get("offset", OFFSET)), p.get("order", "desc")
+    exact = p.get("count_total", True)
+    need = offset + limit + (not exact)
+    narrow = where(spans, conds).select("start_time")
+    last = ordered(narrow, order).limit(need)
+    edge = F.min("start_time") if order == "desc" else F.max("start_time")
+    got = last.agg(edge.alias("edge"), F.count(F.lit(1)).alias("n"))
+    if exact:
+        got = got.crossJoin(narrow.agg(F.count(F.lit(1)).alias("total")))  # one row each
+    else:
+        got = got.withColumn("total", F.least("n", F.lit(need)))
+    edge_, n, total = got.first()
+    if n <= offset or limit <= 0:
+        rows = []
+    else:
+        t = F.col("start_time")
+        part = spans.where(t >= edge_ if order == "desc" else t <= edge_)
+        rows = page(part, [*conds, ("order", order), ("offset", offset), ("limit", limit)]).collect()
+    if exact:
+        return Result(rows, total, limit, offset, total > offset + limit)
+    more = n == need
     return Result(rows, offset + len(rows) + more, limit, offset, more)
 
 

@@ -21,6 +21,10 @@ TERM_ATTRIBUTES = ["http.method", "http.status_code", "http.route", "db.system",
 TERM_BOTH = ["host", "host.name"]
 PROMOTED = {"service.name": "service_name", **{k: "p_" + k.replace(".", "_") for k in TERM_BOTH + TERM_ATTRIBUTES}}
 
+#: The name and all attribute values that are strings, in lower case, between
+#: zero characters: what the name condition looks through.
+SEARCH_TEXT = "search_text"
+
 #: Ties of start_time are broken by these, so that pages are the same each time.
 TIES = ["trace_id", "span_id", "duration_ns", "name", "kind", "status", "service_name"]
 
@@ -35,9 +39,15 @@ def lookup(key: str) -> Column:
     return F.coalesce(text(F.col("attributes")[key]), text(F.col("resource")[key]))
 
 
+def string_values(m: Column) -> Column:
+    """The values of a map that are strings."""
+    return F.transform(F.filter(F.map_values(m), lambda v: F.schema_of_variant(v) == "STRING"), text)
+
+
 def promote(spans: DataFrame) -> DataFrame:
-    """Adds the promoted columns."""
-    return spans.withColumns({c: lookup(k) for k, c in PROMOTED.items()})
+    """Adds the promoted columns and the text that names are looked up in."""
+    found = F.lower(F.concat_ws("\0", F.array("name"), string_values(F.col("attributes"))))
+    return spans.withColumns({**{c: lookup(k) for k, c in PROMOTED.items()}, SEARCH_TEXT: found})
 
 
 def variant_map(**values: Column) -> Column:

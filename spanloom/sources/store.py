@@ -8,16 +8,22 @@ import uuid
 from pathlib import PurePosixPath
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.config import EngineConfig
 from spanloom.operators import blocks as B
-from spanloom.sources.schema import COLUMNS, PROMOTED, SPAN_SCHEMA, TIES, from_raw, promote
+from spanloom.sources.schema import COLUMNS, PROMOTED, SEARCH_TEXT, SPAN_SCHEMA, TIES, from_raw, promote
 
-FULL_SCHEMA = SPAN_SCHEMA + "".join(f", {c} string" for c in PROMOTED.values())
+FULL_SCHEMA = SPAN_SCHEMA + "".join(f", {c} string" for c in [*PROMOTED.values(), SEARCH_TEXT])
 MANIFEST = "block_id string, file_path string, byte_size bigint, entry_count bigint, ts_min bigint, ts_max bigint, block_format string, created_at timestamp, deleted_at timestamp"
 VERSION = 1
+#: Bytes of a row group before compression: small enough that time ranges and
+#: trace ids rule most of them out, and that one file is read by several tasks.
+ROW_GROUP_BYTES = 16 << 20
+#: Compressed bytes and spans of one file that compaction aims at.
+FILE_BYTES, FILE_SPANS = 128 << 20, 250_000
 
 
 class CorruptBlock(RuntimeError):
@@ -88,6 +94,7 @@ class SpanStore:
         """Writes spans as files of one folder; one block per file."""
         folder = f"{self.root}/blocks/{name}"
         w = spans.write.mode("overwrite").option("parquet.bloom.filter.enabled#trace_id", "true").option("parquet.bloom.filter.expected.ndv#trace_id", "100000")
+        w = w.option("parquet.block.size", str(ROW_GROUP_BYTES))
         if fmt == "raw":
             w = w.option("compression", "snappy")
         else:
@@ -119,12 +126,15 @@ class SpanStore:
         if not paths:
             return self.spark.createDataFrame([], FULL_SCHEMA)
         r = self.spark.read.schema(FULL_SCHEMA)
-        if not strict:
-            paths = [p for p in paths if self._exists(f"{self.root}/{p}")]
-            if not paths:
-                return self.spark.createDataFrame([], FULL_SCHEMA)
-            r = r.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
-        return r.parquet(*(f"{self.root}/{p}" for p in paths))
+        full = [f"{self.root}/{p}" for p in paths]
+        if strict:
+            return r.parquet(*full)
+        r = r.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+        try:
+            return r.parquet(*full)
+        except AnalysisException:  # a file is gone: only now each is looked up
+            there = [p for p in full if self._exists(p)]
+            return r.parquet(*there) if there else self.spark.createDataFrame([], FULL_SCHEMA)
 
     def spans(self, since: int | None = None, until: int | None = None) -> DataFrame:
         """Spans of all blocks whose time range meets since..until; missing and
@@ -168,7 +178,7 @@ class SpanStore:
         paths = [r["file_path"] for r in rows]
         want = sum(r["entry_count"] for r in rows)
         size = sum(r["byte_size"] for r in rows)
-        parts = max(1, -(-size // (256 << 20)))
+        parts = max(-(-size // FILE_BYTES), -(-want // FILE_SPANS), 1)
         name = uuid.uuid4().hex
         try:
             src = self._read(paths, strict=True)
