@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom.functions.ids import floor_div, norm_id
-from spanloom.runtime import drop_path, work_path
+from spanloom.runtime import cut, drop_path, work_path
 
 #: Identifiers share this many state entries, each a packed array of the
 #: identifiers seen: one state read and write serves many messages.
@@ -107,9 +107,10 @@ def _batch_writer(spark: SparkSession, root: str):
         # late-arrival lookup: what earlier batches kept around the late messages' times
         known = got.where("kind = 'new'")
         for name in ("seen", "late"):
-            earlier = [f"{root}/{name}/batch={i}" for i in range(batch) if _exists(s, f"{root}/{name}/batch={i}")]
-            if earlier:
-                known = known.unionByName(s.read.schema(_OUT).parquet(*earlier).where("kind = 'new'"))
+            if _exists(s, f"{root}/{name}"):
+                # batches are folders: this one and, after a failure, later ones are left out
+                earlier = s.read.schema(f"{_OUT}, batch long").parquet(f"{root}/{name}").where(F.col("batch") < batch)
+                known = known.unionByName(earlier.where("kind = 'new'").drop("batch"))
         known = known.where(F.col("ms").between(span[0], span[1])).groupBy("h1", "h2").agg(F.min("recv_no").alias("known"))
         own = late.groupBy("h1", "h2").agg(F.min("recv_no").alias("own"))
         out = late.join(own, ["h1", "h2"]).join(known, ["h1", "h2"], "left")
@@ -158,7 +159,9 @@ def copies(spark: SparkSession, root: str) -> DataFrame:
     """
     all_ = told(spark, root)
     copy = all_.where("kind = 'copy'")
-    twice = all_.where("kind = 'new'").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.collect_set("recv_no").alias("r")).where("n > 1").select("h1", "h2", F.explode("r").alias("recv_no"))
+    new = all_.where("kind = 'new'").select("h1", "h2", "recv_no")
+    keys = cut(new.groupBy("h1", "h2").agg(F.min("recv_no").alias("lo"), F.max("recv_no").alias("hi")).where("hi > lo").select("h1", "h2"), "twice")
+    twice = new.join(keys, ["h1", "h2"], "left_semi") if keys.limit(1).count() else new.limit(0)
     receipts = copy.select("h1", "h2", "recv_no").unionByName(copy.select("h1", "h2", F.col("kept_recv_no").alias("recv_no"))).unionByName(twice).distinct()
     first = receipts.groupBy("h1", "h2").agg(F.min("recv_no").alias("first_recv_no"))
     return receipts.join(first, ["h1", "h2"]).where("recv_no > first_recv_no").select("first_recv_no", F.col("recv_no").alias("copy_recv_no"))
