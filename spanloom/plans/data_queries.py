@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import hierarchy, intervals, nested, orphans
+from spanloom.plans import payload_sql
 from spanloom.runtime import table
 from spanloom.streaming import dedup
 
@@ -79,6 +80,7 @@ x as (select *, case when seen is null or s > seen then 1 else 0 end fresh from
 y as (select *, sum(fresh) over (partition by t order by s rows unbounded preceding) no from x)"""
 
 SQL = {
+    **payload_sql.SQL,
     "p1_found": f"{_ORPHANS} select * from o",
     "p1_orphan_counts": f"{_ORPHANS} select ref_table, period, cast(count(*) as bigint) n_orphans, cast(count(distinct case ref_table when 'spans' then split_part(ref_key, ':', 1) || ':' || missing_key when 'blocks' then {_FILE.format('missing_key')} else missing_key end) as bigint) n_missing_keys from o group by 1, 2",
     "p2_span_attributes": f"""with u as (select recv_no, {_T} trace_id, {_S} span_id, 'span' as owner, unnest(map_entries(attributes)) e from spans
