@@ -303,6 +303,70 @@ def event_attributes(spans: DataFrame) -> DataFrame:
     return e.select("recv_no", "trace_id", "span_id", F.col("event_no").cast("long").alias("event_no"), F.explode("e.attributes").alias("attr_key", "attr_value"))
 
 
+#: What a value that can be a JSON object or array begins with.
+_BOX = r"^[ \t\r\n]*[\[{]"
+_VALUE_COLS = ["recv_no", "trace_id", "span_id", "owner", "event_no", "attr_key"]
+
+
+def _leaves(n: Nodes, keys: list[str]) -> Iterator[tuple[int, str, str | None, str | None]]:
+    """(number of the text, path, value, type) of all scalars, nulls and empty
+    containers of the valid texts; the path begins with the text's key."""
+    whole = n.data.tobytes()
+    full = np.zeros(len(n.text), bool)
+    full[n.parent[n.parent >= 0]] = True
+    paths: list[str] = []
+    cols = (n.text, n.parent, n.kind, n.start, n.end, n.key_start, n.key_end, n.pos, full)
+    for t, p, kind, a, b, ka, kb, no, has in zip(*(x.tolist() for x in cols), strict=True):
+        path = keys[t] if p < 0 else f"{paths[p]}/{unescape(whole[ka:kb]) if ka >= 0 else no}"
+        paths.append(path)
+        if has:
+            continue
+        raw = whole[a:b]
+        if kind == STRING:
+            yield t, path, unescape(raw), "string"
+        elif kind == OBJECT:
+            yield t, path, "{}", "object"
+        elif kind == ARRAY:
+            yield t, path, "[]", "array"
+        elif raw == b"null":
+            yield t, path, None, None
+        else:
+            yield t, path, raw.decode(), "bool" if raw in (b"true", b"false") else "double" if any(x in raw for x in b".eE") else "int"
+
+
+def _json_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = batch.column("attr_key").to_pylist()
+        for at, texts in _slices(pa.array(range(batch.num_rows)), batch.column("attr_value")):
+            nodes = index(texts)
+            got = [(at[t], *x) for t, *x in _leaves(nodes, [keys[i] for i in at])]
+            got += [(at[t], keys[at[t]], texts[t].decode("utf-8", "replace"), "string") for t in np.flatnonzero(~nodes.valid).tolist()]
+            src, *new = zip(*got, strict=True)
+            cols = [batch.column(c).take(pa.array(src)) for c in _VALUE_COLS]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.string()) for x in new)], [*_VALUE_COLS, "attr_path", "attr_value", "attr_type"])
+
+
+def span_values(spans: DataFrame) -> DataFrame:
+    """The values of attributes, resource and event attributes with JSON taken apart:
+    recv_no, trace_id, span_id, owner (span, resource, event), event_no (-1 but for
+    events), attr_key, attr_path, attr_value, attr_type.
+
+    A value that is a JSON object or array gives a row for each scalar inside, at any
+    depth, with the path attr_key/member/position. So that nothing is lost, a null
+    inside is a row without value and type, and an empty object or array one of type
+    object or array. Any other text, and what isn't valid JSON, is one row as it is,
+    with attr_path = attr_key; so is a null value.
+    """
+    a = span_attributes(spans).withColumn("event_no", F.lit(-1).cast("long"))
+    e = event_attributes(spans).withColumn("owner", F.lit("event"))
+    every = a.unionByName(e).select(*_VALUE_COLS, "attr_value")
+    box = F.coalesce(F.col("attr_value").rlike(_BOX), F.lit(False))
+    kind = F.when(F.col("attr_value").isNotNull(), "string")
+    text = every.where(~box).select(*_VALUE_COLS, F.col("attr_key").alias("attr_path"), "attr_value", kind.alias("attr_type"))
+    shape = "recv_no bigint, trace_id string, span_id string, owner string, event_no bigint, attr_key string, attr_path string, attr_value string, attr_type string"
+    return text.unionByName(every.where(box).mapInArrow(_json_values, shape))
+
+
 def span_scopes(spans: DataFrame) -> DataFrame:
     """Each scope once with the number of spans' receipts that name it."""
     s = spans.where("instrumentation_scope is not null").select(F.col("instrumentation_scope.name").alias("scope_name"), F.col("instrumentation_scope.version").alias("scope_version"))

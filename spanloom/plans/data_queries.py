@@ -26,6 +26,7 @@ QUERIES = {
     "p2_span_attributes": lambda s, d: nested.span_attributes(table(s, d, "spans")),
     "p2_span_events": lambda s, d: nested.span_events(table(s, d, "spans")),
     "p2_event_attributes": lambda s, d: nested.event_attributes(table(s, d, "spans")),
+    "p2_span_values": lambda s, d: nested.span_values(table(s, d, "spans")),
     "p2_span_scopes": lambda s, d: nested.span_scopes(table(s, d, "spans")),
     "p2_span_core": lambda s, d: nested.span_core(table(s, d, "spans")),
     "p3_found": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans")),
@@ -78,6 +79,19 @@ _ISLANDS = f"""with v as (select {_T} t, start_time s, max(end_time) e from span
 w as (select *, max(e) over (partition by t order by s rows between unbounded preceding and 1 preceding) seen from v),
 x as (select *, case when seen is null or s > seen then 1 else 0 end fresh from w),
 y as (select *, sum(fresh) over (partition by t order by s rows unbounded preceding) no from x)"""
+_VALUE_KIDS = """case json_type(v) when 'OBJECT' then list_transform(json_keys(v), lambda k: {'p': k, 'v': json_extract(v, '$."' || k || '"')})
+  when 'ARRAY' then list_transform(range(len(cast(v as json[]))), lambda i: {'p': cast(i as varchar), 'v': cast(v as json[])[i + 1]}) else [] end"""
+_VALUES = f"""with recursive e as (select recv_no, {_T} trace_id, {_S} span_id, unnest(events) e, unnest(range(len(events))) event_no from spans),
+u as (select recv_no, {_T} trace_id, {_S} span_id, 'span' as owner, -1::bigint event_no, unnest(map_entries(attributes)) a from spans
+  union all select recv_no, {_T}, {_S}, 'resource', -1, unnest(map_entries(resource)) from spans
+  union all select recv_no, trace_id, span_id, 'event', cast(event_no as bigint), unnest(map_entries(e.attributes)) from e),
+j as (select * exclude (a), a.key attr_key, a.value x, case when regexp_matches(a.value, '^[ \\t\\r\\n]*[\\[{{]') and json_valid(a.value) then cast(a.value as json) end v from u),
+n as (select * exclude (x), attr_key attr_path from j where v is not null
+  union all select * exclude (k, v, attr_path), k.v, attr_path || '/' || k.p from (select *, unnest({_VALUE_KIDS}) k from n))
+select * exclude (x, v), attr_key attr_path, x attr_value, case when x is not null then 'string' end attr_type from j where v is null
+union all select * exclude (v), case when json_type(v) <> 'NULL' then v->>'$' end,
+  case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'bool' when 'DOUBLE' then 'double' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'int' end
+  from n where len({_VALUE_KIDS}) = 0"""
 
 SQL = {
     **payload_sql.SQL,
@@ -91,6 +105,7 @@ select recv_no, trace_id, span_id, cast(event_no as bigint) event_no, e.name eve
     "p2_event_attributes": f"""with u as (select recv_no, {_T} trace_id, {_S} span_id, unnest(events) e, unnest(range(len(events))) event_no from spans),
 v as (select recv_no, trace_id, span_id, cast(event_no as bigint) event_no, unnest(map_entries(e.attributes)) a from u)
 select recv_no, trace_id, span_id, event_no, a.key attr_key, a.value attr_value from v""",
+    "p2_span_values": _VALUES,
     "p2_span_scopes": "select instrumentation_scope.name scope_name, instrumentation_scope.version scope_version, cast(count(*) as bigint) n_receipts from spans where instrumentation_scope is not null group by 1, 2",
     "p2_span_core": f"select recv_no, {_T} trace_id, {_S} span_id, case when replace({_P}, '0', '') <> '' then {_P} end parent_id, name, start_time, end_time from spans",
     "p3_found": f"{_TREE} select trace_id, span_id, root_span_id, depth, n_descendants from tree",

@@ -5,7 +5,7 @@ import pytest
 
 from conftest import rows
 from spanloom.functions.jsonindex import ARRAY, OBJECT, STRING, index, unescape
-from spanloom.operators.nested import TABLES, event_attributes, payload_attribute_paths, payload_table, snake, span_attributes, span_events, span_scopes
+from spanloom.operators.nested import TABLES, event_attributes, payload_attribute_paths, payload_table, snake, span_attributes, span_events, span_scopes, span_values
 
 SEEDS = ['{"a":[1,{"b":"x\\"y\\\\"}],"c":null,"d":{}}', '{"ü":"é\\u00e9\\n","n":-1.5e+3,"t":[true,false,[]]}', "[[],[[1,2],{}]]", '"s"', "7", "{}", "[]"]
 BAD = ["", " ", "{", "}", "][", "{,}", "[1,]", '{"a"}', '{"a":}', '{"a":1 "b":2}', "[1 2]", "nul", "-", "01", "1.", '"\\x"', '"\\u12"', '"a', '"\t"', "{1:2}", '["a":1]', '{"a":"b":"c"}', "1 2", "{} {}", ":", ",", "NaN", "\\", '\\"', "[1]]", '{"a":1}}']
@@ -109,3 +109,17 @@ def test_span_columns(spark):
     assert rows(event_attributes(df)) == [(1, "t", "s", 0, "x", "y")]
     assert rows(span_scopes(df)) == [("l", None, 1)]
     assert snake("resourceSpans") == "resource_spans" == snake("resource_spans")
+
+
+def test_json_values_of_span_columns(spark):
+    shape = "recv_no long, trace_id string, span_id string, attributes map<string,string>, resource map<string,string>, events array<struct<name string, ts long, attributes map<string,string>>>"
+    headers = ' {"zone": "no\\u0072th", "accept": ["a/b", {"q": 0.5}], "sampled": true, "none": null, "rest": {}}'
+    df = spark.createDataFrame([(1, " T", "S", {"h": headers, "bad": "[1, 2", "n": None, "no": "7"}, {"r": "[1,[]]", "t": "plain"}, [(None, None, None), ("e", 5, {"d": '{"codes": [0, 1]}', "x": "[]"})]), (2, "t", "u", None, {}, None)], shape)
+    want = [
+        ("span", -1, "h", "h/zone", "north", "string"), ("span", -1, "h", "h/accept/0", "a/b", "string"), ("span", -1, "h", "h/accept/1/q", "0.5", "double"), ("span", -1, "h", "h/sampled", "true", "bool"),
+        ("span", -1, "h", "h/none", None, None), ("span", -1, "h", "h/rest", "{}", "object"), ("span", -1, "bad", "bad", "[1, 2", "string"), ("span", -1, "n", "n", None, None), ("span", -1, "no", "no", "7", "string"),
+        ("resource", -1, "r", "r/0", "1", "int"), ("resource", -1, "r", "r/1", "[]", "array"), ("resource", -1, "t", "t", "plain", "string"),
+        ("event", 1, "d", "d/codes/0", "0", "int"), ("event", 1, "d", "d/codes/1", "1", "int"), ("event", 1, "x", "x", "[]", "array"),
+    ]
+    assert rows(span_values(df)) == sorted(((1, "t", "s", *x) for x in want), key=repr)
+    assert span_values(df.limit(0)).collect() == []
