@@ -373,6 +373,13 @@ def span_scopes(spans: DataFrame) -> DataFrame:
     return s.groupBy("scope_name", "scope_version").agg(F.count(F.lit(1)).alias("n_receipts"))
 
 
+def span_scope_links(spans: DataFrame) -> DataFrame:
+    """The scope of each receipt that has one; name and version, of which either may
+    be null, are the key of span_scopes."""
+    s = F.col("instrumentation_scope")
+    return spans.where(s.isNotNull()).select(*_key(spans), s["name"].alias("scope_name"), s["version"].alias("scope_version"))
+
+
 def span_core(spans: DataFrame) -> DataFrame:
     """The flat columns of each receipt with its links."""
     return spans.select(*_key(spans), norm_parent("parent_span_id").alias("parent_id"), "name", "start_time", "end_time")

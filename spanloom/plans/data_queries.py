@@ -28,6 +28,7 @@ QUERIES = {
     "p2_event_attributes": lambda s, d: nested.event_attributes(table(s, d, "spans")),
     "p2_span_values": lambda s, d: nested.span_values(table(s, d, "spans")),
     "p2_span_scopes": lambda s, d: nested.span_scopes(table(s, d, "spans")),
+    "p2_span_scope_links": lambda s, d: nested.span_scope_links(table(s, d, "spans")),
     "p2_span_core": lambda s, d: nested.span_core(table(s, d, "spans")),
     "p3_found": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans")),
     "p3_paths": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), path=True).withColumn("path", F.concat_ws("/", "path")),
@@ -107,6 +108,7 @@ v as (select recv_no, trace_id, span_id, cast(event_no as bigint) event_no, unne
 select recv_no, trace_id, span_id, event_no, a.key attr_key, a.value attr_value from v""",
     "p2_span_values": _VALUES,
     "p2_span_scopes": "select instrumentation_scope.name scope_name, instrumentation_scope.version scope_version, cast(count(*) as bigint) n_receipts from spans where instrumentation_scope is not null group by 1, 2",
+    "p2_span_scope_links": f"select recv_no, {_T} trace_id, {_S} span_id, instrumentation_scope.name scope_name, instrumentation_scope.version scope_version from spans where instrumentation_scope is not null",
     "p2_span_core": f"select recv_no, {_T} trace_id, {_S} span_id, case when replace({_P}, '0', '') <> '' then {_P} end parent_id, name, start_time, end_time from spans",
     "p3_found": f"{_TREE} select trace_id, span_id, root_span_id, depth, n_descendants from tree",
     "p3_paths": f"{_TREE} select trace_id, span_id, root_span_id, depth, n_descendants, array_to_string(path, '/') path from tree",

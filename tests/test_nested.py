@@ -5,7 +5,7 @@ import pytest
 
 from conftest import rows
 from spanloom.functions.jsonindex import ARRAY, OBJECT, STRING, index, unescape
-from spanloom.operators.nested import TABLES, event_attributes, payload_attribute_paths, payload_table, snake, span_attributes, span_events, span_scopes, span_values
+from spanloom.operators.nested import TABLES, event_attributes, payload_attribute_paths, payload_table, snake, span_attributes, span_events, span_scope_links, span_scopes, span_values
 
 SEEDS = ['{"a":[1,{"b":"x\\"y\\\\"}],"c":null,"d":{}}', '{"ü":"é\\u00e9\\n","n":-1.5e+3,"t":[true,false,[]]}', "[[],[[1,2],{}]]", '"s"', "7", "{}", "[]"]
 BAD = ["", " ", "{", "}", "][", "{,}", "[1,]", '{"a"}', '{"a":}', '{"a":1 "b":2}', "[1 2]", "nul", "-", "01", "1.", '"\\x"', '"\\u12"', '"a', '"\t"', "{1:2}", '["a":1]', '{"a":"b":"c"}', "1 2", "{} {}", ":", ",", "NaN", "\\", '\\"', "[1]]", '{"a":1}}']
@@ -123,3 +123,10 @@ def test_json_values_of_span_columns(spark):
     ]
     assert rows(span_values(df)) == sorted(((1, "t", "s", *x) for x in want), key=repr)
     assert span_values(df.limit(0)).collect() == []
+
+
+def test_scope_of_each_receipt(spark):
+    df = spark.createDataFrame([(1, " T", "S", ("l", None)), (2, "t", "s", ("l", None)), (3, "t", "u", None), (4, None, "v", (None, None)), (5, "t", "w", ("m", "1"))], "recv_no long, trace_id string, span_id string, instrumentation_scope struct<name string, version string>")
+    links = span_scope_links(df)
+    assert rows(links) == [(1, "t", "s", "l", None), (2, "t", "s", "l", None), (4, None, "v", None, None), (5, "t", "w", "m", "1")]
+    assert rows(links.groupBy("scope_name", "scope_version").count()) == rows(span_scopes(df))
