@@ -52,6 +52,12 @@ def _tags(s, d):
     return x.unionByName(y).select("span_id", "key", "type", text(F.col("value")).alias("value"))
 
 
+def _span_tags(s, d):
+    """All tags of all spans; jaeger_tags_typed takes those of roots and events."""
+    x = order_spans(s, d).unionByName(event_spans(s, d)).select("span_id", F.explode(J.span_tags()).alias("t")).select("span_id", "t.*")
+    return x.select("span_id", "key", "type", text(F.col("value")).alias("value"))
+
+
 def _logs(s, d):
     x = event_spans(s, d).select("span_id", F.explode(J.logs()).alias("l"))
     return x.select("span_id", F.col("l.timestamp").alias("ts_us"), F.explode("l.fields").alias("f")).select("span_id", "ts_us", F.col("f.key").alias("key"), text(F.col("f.value")).alias("value"))
@@ -164,6 +170,7 @@ QUERIES = {
     "jaeger_processes": _processes,
     "jaeger_process_tags": _process_tags,
     "jaeger_tags_typed": _tags,
+    "jaeger_span_tags": _span_tags,
     "jaeger_search_page": _search_page,
     "jaeger_trace_json": _jaeger_json,
     "event_logs": _logs,
@@ -269,6 +276,15 @@ select span_id, 'span.kind' as key, 'string' as type, kind as value from e union
 union all select span_id, 'k', 'string', attr_k from e where attr_k is not null
 union all select span_id, 'service.name', 'string', attr_service from s where kind = 'server' union all select span_id, 'http.method', 'string', attr_http_method from s where kind = 'server'
 union all select span_id, 'http.status_code', 'int64', cast(attr_http_status_code as varchar) from s where kind = 'server'""",
+    "jaeger_span_tags": f"""with {_S_CTE}, {_E_CTE}, u as (select span_id, kind, status, null::varchar status_message, null::varchar attr_service, null::varchar attr_http_method, null::bigint attr_http_status_code, null::varchar attr_db_system, attr_k from e
+  union all select span_id, kind, status, status_message, attr_service, attr_http_method, attr_http_status_code, attr_db_system, null from s)
+select span_id, 'span.kind' as key, 'string' as type, kind as value from u union all select span_id, 'otel.status_code', 'string', upper(status) from u
+union all select span_id, 'otel.status_description', 'string', status_message from u where status_message is not null
+union all select span_id, 'service.name', 'string', attr_service from u where attr_service is not null
+union all select span_id, 'http.method', 'string', attr_http_method from u where attr_http_method is not null
+union all select span_id, 'http.status_code', 'int64', cast(attr_http_status_code as varchar) from u where attr_http_status_code is not null
+union all select span_id, 'db.system', 'string', attr_db_system from u where attr_db_system is not null
+union all select span_id, 'k', 'string', attr_k from u where attr_k is not null""",
     "jaeger_search_page": _s(f", p as (select * from s where service = 'furniture' and duration_ns >= 1000000000 order by start_time desc, {_ORDER} limit 50) select trace_id, count(*) n_spans from p group by 1"),
     "jaeger_trace_json": _s(f"select trace_id, count(*) n_spans from s where trace_id = '{SOME_TRACE}' group by 1"),
     "event_logs": f"with {_E_CTE} select span_id, start_time // 1000 ts_us, 'event' as key, name as value from e union all select span_id, start_time // 1000, 'k', attr_k from e where attr_k is not null",

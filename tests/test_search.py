@@ -12,6 +12,8 @@ from spanloom.operators import blocks as B
 from spanloom.operators import jaeger as J
 from spanloom.operators import search as S
 from spanloom.operators.filters import condition, split, to_ns, where
+from spanloom.plans.span_queries import QUERIES
+from spanloom.runtime import table
 from spanloom.sources.schema import from_raw, promote
 
 MS = 1_000_000
@@ -171,3 +173,11 @@ def test_blocks(spark):
 
 def ids_(df):
     return sorted(r.block_id for r in df.collect())
+
+
+def test_tags_of_all_spans(spark, data):
+    got = {(r["key"], r["type"]): r["n"] for r in QUERIES["jaeger_span_tags"](spark, data).groupBy("key", "type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lines, orders, events = (table(spark, data, x).count() for x in ("lineitem", "orders", "events"))
+    assert got["db.system", "string"] == lines and got["http.status_code", "int64"] == orders
+    assert got["span.kind", "string"] == got["otel.status_code", "string"] == lines + orders + events
+    assert got["otel.status_description", "string"] == table(spark, data, "orders").where("o_orderstatus = 'P'").count()
