@@ -15,6 +15,7 @@ from spanloom.operators.filters import condition, split, to_ns, where
 from spanloom.plans.span_queries import QUERIES
 from spanloom.runtime import table
 from spanloom.sources.schema import from_raw, promote
+from spanloom.sources.store import SpanStore
 
 MS = 1_000_000
 SHAPE = "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time long, end_time long, duration_ns long, status string, status_message string, attributes map<string,string>, resource map<string,string>"
@@ -181,3 +182,12 @@ def test_tags_of_all_spans(spark, data):
     assert got["db.system", "string"] == lines and got["http.status_code", "int64"] == orders
     assert got["span.kind", "string"] == got["otel.status_code", "string"] == lines + orders + events
     assert got["otel.status_description", "string"] == table(spark, data, "orders").where("o_orderstatus = 'P'").count()
+
+
+def test_compaction_merges_all_spans(spark, data, monkeypatch):
+    said, merge = [], SpanStore.merge
+    monkeypatch.setattr(SpanStore, "merge", lambda self: said.append(merge(self)) or said[-1])
+    lines, orders, events = (table(spark, data, x).count() for x in ("lineitem", "orders", "events"))
+    for name, want in (("compaction_invariance", orders + events), ("compaction_all_spans", lines + orders + events)):
+        assert QUERIES[name](spark, data).agg(F.sum("n")).first()[0] == want
+    assert said == ["ok", "ok"]
