@@ -94,6 +94,12 @@ def _jaeger_json(s, d):
     return J.jaeger_traces(x).select("trace_id", F.size(F.from_json("json", "spans array<string>")["spans"]).cast("long").alias("n_spans"))
 
 
+def _jaeger_documents(s, d):
+    """Every trace as a document, with the spans and processes found in it."""
+    doc = F.from_json("json", "spans array<string>, processes map<string,string>")
+    return J.jaeger_traces(order_spans(s, d)).select("trace_id", F.size(doc["spans"]).cast("long").alias("n_spans"), F.size(doc["processes"]).cast("long").alias("n_processes"))
+
+
 def _tail(s, d):
     """Error events from a stream over the events table, delivered to a listener."""
     path = f"{d}/events.parquet"
@@ -186,6 +192,7 @@ QUERIES = {
     "jaeger_span_tags": _span_tags,
     "jaeger_search_page": _search_page,
     "jaeger_trace_json": _jaeger_json,
+    "jaeger_trace_documents": _jaeger_documents,
     "event_logs": _logs,
     "id_codec": _ids,
     "otlp_decode": _otlp,
@@ -301,6 +308,7 @@ union all select span_id, 'db.system', 'string', attr_db_system from u where att
 union all select span_id, 'k', 'string', attr_k from u where attr_k is not null""",
     "jaeger_search_page": _s(f", p as (select * from s where service = 'furniture' and duration_ns >= 1000000000 order by start_time desc, {_ORDER} limit 50) select trace_id, count(*) n_spans from p group by 1"),
     "jaeger_trace_json": _s(f"select trace_id, count(*) n_spans from s where trace_id = '{SOME_TRACE}' group by 1"),
+    "jaeger_trace_documents": _s("select trace_id, count(*) n_spans, count(distinct service) n_processes from s group by 1"),
     "event_logs": f"with {_E_CTE} select span_id, start_time // 1000 ts_us, 'event' as key, name as value from e union all select span_id, start_time // 1000, 'k', attr_k from e where attr_k is not null",
     "id_codec": "select o_orderkey, lower(lpad(hex(o_orderkey), 32, '0')) trace_hex, lower(lpad(hex(o_orderkey), 16, '0')) span_hex, cast(octet_length(unhex(lpad(hex(o_orderkey), 32, '0'))) as bigint) n_bytes, lower(hex(unhex(lpad(hex(o_orderkey), 32, '0')))) round_trip from orders",
     "stream_tail_error": "select event_id, event_type as name, 'error' as status, user_id from events where event_type = 'error'",

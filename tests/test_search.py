@@ -191,3 +191,8 @@ def test_compaction_merges_all_spans(spark, data, monkeypatch):
     for name, want in (("compaction_invariance", orders + events), ("compaction_all_spans", lines + orders + events)):
         assert QUERIES[name](spark, data).agg(F.sum("n")).first()[0] == want
     assert said == ["ok", "ok"]
+
+
+def test_documents_of_all_traces(spark, data):
+    got = QUERIES["jaeger_trace_documents"](spark, data).agg(F.count(F.lit(1)), F.sum("n_spans"), F.min("n_processes")).first()
+    assert tuple(got) == (table(spark, data, "orders").count(), table(spark, data, "orders").count() + table(spark, data, "lineitem").count(), 1)
