@@ -59,6 +59,7 @@ def query(spans: DataFrame, filters: Filters) -> Result:
     First a look at the condition's columns and start_time alone: how many spans
     match, and the start_time of the page's last row. Then the page itself, from
     the row groups that reach that time; only they are read with all columns.
+    Spans without start_time come first in ascending order, last in descending.
     """
     p, conds = split(filters)
     limit, offset, order = int(p.get("limit", LIMIT)), int(p.get("offset", OFFSET)), p.get("order", "desc")
@@ -67,17 +68,21 @@ def query(spans: DataFrame, filters: Filters) -> Result:
     narrow = where(spans, conds).select("start_time")
     last = ordered(narrow, order).limit(need)
     edge = F.min("start_time") if order == "desc" else F.max("start_time")
-    got = last.agg(edge.alias("edge"), F.count(F.lit(1)).alias("n"))
+    got = last.agg(edge.alias("edge"), F.count(F.lit(1)).alias("n"), F.count("start_time").alias("timed"))
     if exact:
         got = got.crossJoin(narrow.agg(F.count(F.lit(1)).alias("total")))  # one row each
     else:
         got = got.withColumn("total", F.least("n", F.lit(need)))
-    edge_, n, total = got.first()
+    r = got.select("edge", "n", "timed", "total").first()
+    edge_, n, total = r["edge"], r["n"], r["total"]
     if n <= offset or limit <= 0:
         rows = []
     else:
         t = F.col("start_time")
-        part = spans.where(t >= edge_ if order == "desc" else t <= edge_)
+        part = F.lit(False) if edge_ is None else t >= edge_ if order == "desc" else t <= edge_
+        if r["timed"] < n:  # the page reaches spans without start_time
+            part = part | t.isNull()
+        part = spans.where(part)
         rows = page(part, [*conds, ("order", order), ("offset", offset), ("limit", limit)]).collect()
     if exact:
         return Result(rows, total, limit, offset, total > offset + limit)

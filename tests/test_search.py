@@ -196,3 +196,14 @@ def test_compaction_merges_all_spans(spark, data, monkeypatch):
 def test_documents_of_all_traces(spark, data):
     got = QUERIES["jaeger_trace_documents"](spark, data).agg(F.count(F.lit(1)), F.sum("n_spans"), F.min("n_processes")).first()
     assert tuple(got) == (table(spark, data, "orders").count(), table(spark, data, "orders").count() + table(spark, data, "lineitem").count(), 1)
+
+
+def test_query_with_spans_without_start(spark):
+    df = frame(spark, [(*span(i)[:5], None if i % 3 == 0 else 1000 * i, *span(i)[6:]) for i in range(12)])
+    for order in ("asc", "desc"):
+        for offset, limit in ((0, 3), (2, 5), (7, 3), (9, 6), (0, 20), (12, 3)):
+            for exact in (True, False):
+                f = {"order": order, "offset": offset, "limit": limit, "count_total": exact}
+                got = S.query(df, f)
+                assert [r.span_id for r in got.entries] == [r.span_id for r in S.page(df, f).collect()], f
+                assert len(got.entries) == max(0, min(limit, 12 - offset)) and got.has_more == (12 > offset + limit)
