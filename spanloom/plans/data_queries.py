@@ -35,6 +35,7 @@ QUERIES = {
     "p3_descendants": lambda s, d: hierarchy.descendants(hierarchy.span_hierarchy(table(s, d, "spans"), path=True)),
     "p5_found": lambda s, d: dedup.span_copies(s, f"{d}/spans.parquet"),
     "p5_kept": lambda s, d: dedup.span_kept(s, f"{d}/spans.parquet").select("recv_no", "trace_id", "span_id", "name"),
+    "p5_batches": lambda s, d: dedup.stream_totals(s, f"{d}/spans.parquet"),
     "p6_found": lambda s, d: intervals.trace_gaps(table(s, d, "spans")),
     "p6_periods": lambda s, d: intervals.trace_periods(table(s, d, "spans")),
 }
@@ -117,6 +118,8 @@ select recv_no, trace_id, span_id, event_no, a.key attr_key, a.value attr_value
 select f first_recv_no, recv_no copy_recv_no from r where recv_no > f""",
     "p5_kept": f"""with r as (select *, min(recv_no) over (partition by {_T}, {_S}) f from spans where {_T} is not null and {_S} is not null)
 select recv_no, trace_id, span_id, name from r where recv_no = f""",
+    "p5_batches": f"""select count(*) n_messages, count(distinct ({_T}, {_S})) n_new, count(*) - count(distinct ({_T}, {_S})) n_copies, true several_batches, true some_late
+from spans where {_T} is not null and {_S} is not null""",
     "p6_found": f"{_ISLANDS} select t trace_id, seen gap_start, s gap_end from x where s > seen",
     "p6_periods": f"{_ISLANDS} select t trace_id, min(s) period_start, max(e) period_end, cast(count(*) as bigint) n_starts from y group by t, no",
 }

@@ -58,15 +58,32 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def _forget(path: str) -> None:
+    """At the end of the process: by the session's file system while there is one."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            drop_path(spark, path)
+            return
+    except Exception:  # the session is going down
+        pass
     local = path.removeprefix("file://").removeprefix("file:")
     if local.startswith("/"):
         shutil.rmtree(local, ignore_errors=True)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -78,7 +95,3 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
