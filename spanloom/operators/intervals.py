@@ -7,28 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import norm_id
+from spanloom.runtime import cut
 
 #: Distinct starts of one entity that one window task takes; beyond it the
-#: entity is cut into slices of time.
+#: entity is cut into slices.
 SLICE_ROWS = 100_000
+#: Large entities up to this number are told to all tasks; beyond it they are joined.
+HOT_LIST = 10_000
 
 
 def _sliced(iv: DataFrame, slice_rows: int) -> DataFrame:
     """Adds slice and carry (the latest end of all earlier slices of the entity).
 
-    Entities of up to slice_rows starts are one slice. Larger ones are cut at
-    equal steps of start_time, twice as many as their rows ask for; a slice
-    sees of the earlier ones only their latest end.
+    Entities of up to slice_rows starts are one slice. The starts of larger ones
+    are cut by rank: range partitions of sampled (entity, start), aiming at half
+    of slice_rows, so that clustered starts make no large slice. A slice sees of
+    the earlier ones only their latest end.
     """
-    size = iv.groupBy("entity").agg(F.count(F.lit(1)).alias("k"), F.min("start").alias("lo"), F.max("start").alias("hi")).where(F.col("k") > slice_rows)
-    iv = iv.join(size, "entity", "left")
-    lo, hi, at = (F.col(c).cast("double") for c in ("lo", "hi", "start"))  # rounding keeps the order, and no value overflows
-    width = F.greatest(F.lit(1.0), (hi - lo) / (2 * F.ceil(F.col("k") / F.lit(slice_rows))))
-    iv = iv.withColumn("slice", F.coalesce(F.floor((at - lo) / width), F.lit(0)).cast("long"))
-    ends = iv.where("k is not null").groupBy("entity", "slice").agg(F.max("end").alias("last"))
+    none = F.lit(None).cast(dict(iv.dtypes)["end"])
+    large = iv.groupBy("entity").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > slice_rows)
+    found = large.limit(HOT_LIST + 1).collect()
+    if not found:
+        return iv.withColumns({"slice": F.lit(0), "carry": none})
+    if len(found) <= HOT_LIST:
+        rows, names = sum(r["k"] for r in found), F.broadcast(iv.sparkSession.createDataFrame([(r["entity"],) for r in found], iv.select("entity").schema))
+    else:
+        large = cut(large, "large")
+        rows, names = large.agg(F.sum("k")).first()[0], large.select("entity")
+    parts = -(-2 * rows // slice_rows)
+    big = iv.join(names, "entity", "left_semi").repartitionByRange(parts, "entity", "start").withColumn("slice", F.spark_partition_id())
+    big = cut(big, "slices")
+    ends = big.groupBy("entity", "slice").agg(F.max("end").alias("last"))
     before = W.partitionBy("entity").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carry = ends.select("entity", "slice", F.max("last").over(before).alias("carry"))
-    return iv.drop("k", "lo", "hi").join(carry, ["entity", "slice"], "left")
+    small = iv.join(names, "entity", "left_anti").withColumns({"slice": F.lit(0), "carry": none})
+    return small.unionByName(big.join(carry, ["entity", "slice"]))
 
 
 def merge_intervals(intervals: DataFrame, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +58,7 @@ def merge_intervals(intervals: DataFrame, slice_rows: int = SLICE_ROWS) -> tuple
     _sliced), so no task holds a whole large entity.
     """
     iv = intervals.select("entity", "start", "end").where("entity is not null and start <= end").groupBy("entity", "start").agg(F.max("end").alias("end"))
-    iv = _sliced(iv, slice_rows)
+    iv = _sliced(cut(iv, "starts"), slice_rows)
     w = W.partitionBy("entity", "slice").orderBy("start")
     seen = F.greatest(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("carry"))
     iv = iv.withColumn("seen", seen).withColumn("new", (F.col("seen").isNull() | (F.col("start") > F.col("seen"))).cast("int"))
@@ -65,11 +78,11 @@ def span_intervals(spans: DataFrame) -> DataFrame:
     return spans.select(norm_id("trace_id").alias("entity"), F.col("start_time").alias("start"), F.col("end_time").alias("end"))
 
 
-def trace_gaps(spans: DataFrame) -> DataFrame:
-    _, gaps = merge_intervals(span_intervals(spans))
+def trace_gaps(spans: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    _, gaps = merge_intervals(span_intervals(spans), slice_rows)
     return gaps.withColumnRenamed("entity", "trace_id")
 
 
-def trace_periods(spans: DataFrame) -> DataFrame:
-    periods, _ = merge_intervals(span_intervals(spans))
+def trace_periods(spans: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    periods, _ = merge_intervals(span_intervals(spans), slice_rows)
     return periods.withColumnRenamed("entity", "trace_id")

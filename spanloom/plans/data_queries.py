@@ -38,6 +38,8 @@ QUERIES = {
     "p5_batches": lambda s, d: dedup.stream_totals(s, f"{d}/spans.parquet"),
     "p6_found": lambda s, d: intervals.trace_gaps(table(s, d, "spans")),
     "p6_periods": lambda s, d: intervals.trace_periods(table(s, d, "spans")),
+    "p6_sliced_gaps": lambda s, d: intervals.trace_gaps(table(s, d, "spans"), 100),
+    "p6_sliced_periods": lambda s, d: intervals.trace_periods(table(s, d, "spans"), 100),
 }
 
 _ID = "nullif(lower(trim({0}, chr(32)||chr(9)||chr(10)||chr(13))), '')"
@@ -123,3 +125,4 @@ from spans where {_T} is not null and {_S} is not null""",
     "p6_found": f"{_ISLANDS} select t trace_id, seen gap_start, s gap_end from x where s > seen",
     "p6_periods": f"{_ISLANDS} select t trace_id, min(s) period_start, max(e) period_end, cast(count(*) as bigint) n_starts from y group by t, no",
 }
+SQL |= {"p6_sliced_gaps": SQL["p6_found"], "p6_sliced_periods": SQL["p6_periods"]}

@@ -1,7 +1,7 @@
 import random
 
 from conftest import rows
-from spanloom.operators.intervals import merge_intervals, trace_gaps
+from spanloom.operators.intervals import _sliced, merge_intervals, trace_gaps
 
 SHAPE = "entity string, start long, end long"
 
@@ -51,3 +51,9 @@ def test_empty_and_clashing_columns(spark):
     spans = spark.createDataFrame([("T ", 1, 2, "e", 0), ("t", 4, None, "e", 0), ("t", 5, 6, "e", 0), (None, 1, 9, "e", 0)], "trace_id string, start_time long, end_time long, entity string, slice int")
     assert rows(trace_gaps(spans)) == [("t", 2, 5)]
     assert trace_gaps(spans.limit(0)).collect() == []
+
+
+def test_clustered_starts_make_no_large_slice(spark):
+    iv = [("x", k, k) for k in range(5000)] + [("x", 10**15, 10**15)] + [("y", k, k + 1) for k in range(50)]
+    sizes = [r["count"] for r in _sliced(spark.createDataFrame(iv, SHAPE), 500).groupBy("entity", "slice").count().collect()]
+    assert sum(sizes) == 5051 and max(sizes) <= 1000 and len(sizes) > 8
