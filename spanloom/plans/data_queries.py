@@ -14,6 +14,12 @@ def _store(spark, d):
     return (table(spark, d, x) for x in ("spans", "trace_index", "blocks", "block_files"))
 
 
+def _ranges(spark, d, **k):
+    """Each span's place in its trace and the places of its descendants."""
+    got = hierarchy.span_hierarchy(table(spark, d, "spans"), ranges=True, **k)
+    return got.select("trace_id", "span_id", "n_descendants", *hierarchy.RANGES)
+
+
 QUERIES = {
     "p1_found": lambda s, d: orphans.store_orphans(*_store(s, d)),
     "p1_orphan_counts": lambda s, d: orphans.store_orphan_counts(*_store(s, d)),
@@ -32,7 +38,11 @@ QUERIES = {
     "p2_span_core": lambda s, d: nested.span_core(table(s, d, "spans")),
     "p3_found": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans")),
     "p3_paths": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), path=True).withColumn("path", F.concat_ws("/", "path")),
-    "p3_descendants": lambda s, d: hierarchy.descendants(hierarchy.span_hierarchy(table(s, d, "spans"), path=True)),
+    "p3_descendants": lambda s, d: _ranges(s, d),
+    # the way of groups that no task may hold whole, compared with the same SQL
+    "p3_blocks_found": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), group_rows=200),
+    "p3_blocks_paths": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), path=True, group_rows=200).withColumn("path", F.concat_ws("/", "path")),
+    "p3_blocks_descendants": lambda s, d: _ranges(s, d, group_rows=200),
     "p5_found": lambda s, d: dedup.span_copies(s, f"{d}/spans.parquet"),
     "p5_kept": lambda s, d: dedup.span_kept(s, f"{d}/spans.parquet").select("recv_no", "trace_id", "span_id", "name"),
     "p5_batches": lambda s, d: dedup.stream_totals(s, f"{d}/spans.parquet"),
@@ -77,7 +87,7 @@ fin as (select top.*, e.p back from top join e on e.t = top.t and e.s = top.root
 sub as (select t, a s, count(*) - 1 n from up group by 1, 2),
 tree as (select fin.t trace_id, fin.s span_id, case when back is null then root else '' end root_span_id,
   cast(case when back is null then k when back = fin.s then -1 else -2 end as bigint) depth, cast(sub.n as bigint) n_descendants,
-  case when back is null then list_reverse(seen) else [] end path
+  case when back is null then list_reverse(seen) else [] end path, fin.root, fin.seen
   from fin join sub on sub.t = fin.t and sub.s = fin.s)"""
 _ISLANDS = f"""with v as (select {_T} t, start_time s, max(end_time) e from spans where {_T} is not null and end_time >= start_time group by 1, 2),
 w as (select *, max(e) over (partition by t order by s rows between unbounded preceding and 1 preceding) seen from v),
@@ -115,7 +125,13 @@ select recv_no, trace_id, span_id, event_no, a.key attr_key, a.value attr_value
     "p2_span_core": f"select recv_no, {_T} trace_id, {_S} span_id, case when replace({_P}, '0', '') <> '' then {_P} end parent_id, name, start_time, end_time from spans",
     "p3_found": f"{_TREE} select trace_id, span_id, root_span_id, depth, n_descendants from tree",
     "p3_paths": f"{_TREE} select trace_id, span_id, root_span_id, depth, n_descendants, array_to_string(path, '/') path from tree",
-    "p3_descendants": f"{_TREE} select up.t trace_id, up.a ancestor_id, up.s descendant_id, cast(up.k as bigint) distance from up join tree on tree.trace_id = up.t and tree.span_id = up.s where up.k > 0 and tree.depth >= 0",
+    "p3_descendants": f"""{_TREE},
+ring as (select trace_id, span_id, list_min(seen) circle, seen from tree where depth = -1),
+keyed as (select t.*, coalesce(r.circle, '') circle, case when t.depth >= 0 then t.path when t.depth = -1 then [t.span_id] else list_reverse(list_filter(t.seen, lambda x: not list_contains(r.seen, x))) end k
+  from tree t left join ring r on t.depth < 0 and r.trace_id = t.trace_id and r.span_id = t.root),
+placed as (select *, row_number() over (partition by trace_id order by depth < 0, circle, depth = -2, k) - 1 pos from keyed),
+opened as (select *, case when depth = -1 then min(pos) over (partition by trace_id, circle) else pos + 1 end first_pos from placed)
+select trace_id, span_id, n_descendants, pos, first_pos, case when depth = -1 then first_pos else pos end + n_descendants last_pos from opened""",
     "p5_found": f"""with r as (select recv_no, min(recv_no) over (partition by {_T}, {_S}) f from spans where {_T} is not null and {_S} is not null)
 select f first_recv_no, recv_no copy_recv_no from r where recv_no > f""",
     "p5_kept": f"""with r as (select *, min(recv_no) over (partition by {_T}, {_S}) f from spans where {_T} is not null and {_S} is not null)
@@ -125,4 +141,5 @@ from spans where {_T} is not null and {_S} is not null""",
     "p6_found": f"{_ISLANDS} select t trace_id, seen gap_start, s gap_end from x where s > seen",
     "p6_periods": f"{_ISLANDS} select t trace_id, min(s) period_start, max(e) period_end, cast(count(*) as bigint) n_starts from y group by t, no",
 }
+SQL |= {f"p3_blocks_{x}": SQL[f"p3_{x}"] for x in ("found", "paths", "descendants")}
 SQL |= {"p6_sliced_gaps": SQL["p6_found"], "p6_sliced_periods": SQL["p6_periods"]}
