@@ -5,11 +5,13 @@ and give small tables of one row per block."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.sources.schema import TERM_ATTRIBUTES, TERM_BOTH, lookup, text
+from spanloom.sources.schema import PROMOTED, RESOURCE_TERMS, TERM_ATTRIBUTES, TERM_BOTH, lookup, text
 
 DAY_NS = 86_400_000_000_000
 
@@ -31,9 +33,54 @@ def terms() -> Column:
     return F.array_distinct(F.array_compact(F.array(*parts)))
 
 
+def term_sets(columns: Iterable[str]) -> tuple[list[Column], Column]:
+    """Aggregates of the distinct values of each term's promoted column, and the
+    array of terms that they make: a block's terms without a row per span and term."""
+    columns = set(columns)
+    cols = [("name", F.col("name")), ("kind", F.col("kind")), ("status", F.col("status")), *((k, F.col(c)) for k, c in PROMOTED.items())]
+    # a key of attributes and of resource: the promoted value is the first that is there
+    cols += [(k, F.col(c) if c in columns else text(F.col("resource")[k])) for k, c in RESOURCE_TERMS.items()]
+    names = [f"_set_{i}" for i in range(len(cols))]
+    sets = [F.collect_set(c).alias(n) for (_, c), n in zip(cols, names, strict=True)]
+    return sets, F.array_distinct(F.concat(*(_terms_of(k, F.col(n)) for (k, _), n in zip(cols, names, strict=True))))
+
+
+def _terms_of(key: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(f"{key}:"), v))
+
+
 def term_index(spans: DataFrame, block: Column) -> DataFrame:
     """Distinct (term, block_id)."""
-    return spans.select(block.alias("block_id"), F.explode(terms()).alias("term")).distinct()
+    if not set(PROMOTED.values()) <= set(spans.columns):
+        return spans.select(block.alias("block_id"), F.explode(terms()).alias("term")).distinct()
+    sets, got = term_sets(spans.columns)
+    return spans.groupBy(block.alias("block_id")).agg(*sets).select("block_id", F.explode(got).alias("term"))
+
+
+def term_values(index: DataFrame, key: str) -> DataFrame:
+    """block_id and value of the terms of one key: the term without its prefix."""
+    prefix = f"{key}:"
+    return index.where(F.startswith("term", F.lit(prefix))).select("block_id", F.substring("term", len(prefix) + 1, 2**31 - 1).alias("value"))
+
+
+def holding(terms: DataFrame, wanted: Iterable[str]) -> DataFrame:
+    """Of blocks with their arrays of terms those that hold all of the wanted terms."""
+    for t in sorted(set(wanted)):
+        terms = terms.where(F.array_contains("terms", t))
+    return terms
+
+
+#: Endings of block files.
+FORMATS = {"raw": "raw", "zst": "zstd", "ozl": "openzl"}
+
+
+def format_of(path: Column | str) -> Column:
+    """The format that a block file's ending tells; null for other endings."""
+    end = F.regexp_extract(path, r"\.([a-z]+)$", 1)
+    out = F.lit(None).cast("string")
+    for k, v in FORMATS.items():
+        out = F.when(end == k, v).otherwise(out)
+    return out
 
 
 def matching_blocks(index: DataFrame, wanted: list[str]) -> DataFrame:
@@ -83,7 +130,7 @@ def expired_by_age(blocks: DataFrame, cutoff_ns: int) -> DataFrame:
     return blocks.where(F.col("ts_max") < cutoff_ns)
 
 
-def _over(blocks: DataFrame, weight: str, most: int) -> DataFrame:
+def expired_by_weight(blocks: DataFrame, weight: str, most: int) -> DataFrame:
     """The oldest blocks that go until at most `most` of weight is left: a block
     goes if what remains before it goes is above. The window's rows are one
     per block of the manifest, not data."""
@@ -94,13 +141,13 @@ def _over(blocks: DataFrame, weight: str, most: int) -> DataFrame:
 
 
 def expired_by_size(blocks: DataFrame, max_bytes: int) -> DataFrame:
-    return _over(blocks, "byte_size", max_bytes)
+    return expired_by_weight(blocks, "byte_size", max_bytes)
 
 
 def expired_by_terms(blocks: DataFrame, index: DataFrame, max_terms: int) -> DataFrame:
     counts = index.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_terms"))
     got = blocks.join(counts, "block_id", "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
-    return _over(got, "n_terms", max_terms)
+    return expired_by_weight(got, "n_terms", max_terms)
 
 
 def merge_candidates(blocks: DataFrame, below: int = 2000) -> DataFrame:
@@ -130,7 +177,8 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def insert_new(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).dropDuplicates()
+    """old and the rows of new that aren't in it, each once."""
+    return old.unionByName(new).distinct()
 
 
 def delete_blocks(table: DataFrame, gone: DataFrame) -> DataFrame:

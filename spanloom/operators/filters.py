@@ -86,6 +86,19 @@ def condition(key: str, value: Any, columns: Iterable[str]) -> Column | None:
     return None
 
 
+def terms_of(conditions: Iterable[tuple[str, Any]]) -> list[str]:
+    """Index terms that any span which meets the conditions makes its block have."""
+    out = []
+    for k, v in conditions:
+        if k in ("kind", "status"):
+            out.append(f"{k}:{v}")
+        elif k == "service":
+            out.append(f"service.name:{v}")
+        elif k == "attributes":
+            out += [f"{a}:{_words(x)}" for a, x in v.items() if a in PROMOTED]
+    return out
+
+
 def where(spans: DataFrame, filters: Filters) -> DataFrame:
     """Spans for which all conditions hold. No condition: all spans. A key may be
     repeated; keys that aren't conditions are ignored. Comparisons with null

@@ -130,8 +130,11 @@ def jaeger_spans(spans: DataFrame) -> DataFrame:
 
 
 def _by_start(a: Column, b: Column) -> Column:
-    x, y = a["startTime"], b["startTime"]
-    return F.when(x < y, -1).when(x > y, 1).when(a["spanID"] < b["spanID"], -1).when(a["spanID"] > b["spanID"], 1).otherwise(0)
+    """Order of a document's spans; ties of time and identifier are broken, too."""
+    out = F.lit(0)
+    for c in ("processID", "operationName", "duration", "spanID", "startTime"):
+        out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
+    return out
 
 
 def jaeger_traces(spans: DataFrame) -> DataFrame:

@@ -53,8 +53,9 @@ def page_meta(spans: DataFrame, filters: Filters) -> DataFrame:
     return one.select("total", F.lit(limit).cast("long").alias("limit"), F.lit(offset).cast("long").alias("offset"), more.alias("has_more"))
 
 
-def query(spans: DataFrame, filters: Filters) -> Result:
-    """A page with its totals.
+def query(spans: DataFrame, filters: Filters, total: int | None = None) -> Result:
+    """A page with its totals. total: the number of matches where it is known, so
+    that spans may be only those that can be on the page.
 
     First a look at the condition's columns and start_time alone: how many spans
     match, and the start_time of the page's last row. Then the page itself, from
@@ -63,13 +64,15 @@ def query(spans: DataFrame, filters: Filters) -> Result:
     """
     p, conds = split(filters)
     limit, offset, order = int(p.get("limit", LIMIT)), int(p.get("offset", OFFSET)), p.get("order", "desc")
-    exact = p.get("count_total", True)
+    exact, known = p.get("count_total", True), total
     need = offset + limit + (not exact)
     narrow = where(spans, conds).select("start_time")
     last = ordered(narrow, order).limit(need)
     edge = F.min("start_time") if order == "desc" else F.max("start_time")
     got = last.agg(edge.alias("edge"), F.count(F.lit(1)).alias("n"), F.count("start_time").alias("timed"))
-    if exact:
+    if known is not None:
+        got = got.withColumn("total", F.lit(known).cast("long"))
+    elif exact:
         got = got.crossJoin(narrow.agg(F.count(F.lit(1)).alias("total")))  # one row each
     else:
         got = got.withColumn("total", F.least("n", F.lit(need)))
@@ -90,9 +93,9 @@ def query(spans: DataFrame, filters: Filters) -> Result:
     return Result(rows, offset + len(rows) + more, limit, offset, more)
 
 
-def trace(spans: DataFrame, trace_id: str) -> DataFrame:
+def trace(spans: DataFrame, *trace_ids: str) -> DataFrame:
     """A trace's spans by start_time; none for an unknown trace."""
-    return ordered(spans.where(F.col("trace_id") == trace_id), "asc")
+    return ordered(spans.where(F.col("trace_id").isin(*trace_ids)), "asc")
 
 
 def services(spans: DataFrame) -> DataFrame:

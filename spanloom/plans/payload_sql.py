@@ -67,3 +67,36 @@ SQL = {
     "p2_payload_scopes": P2_SCOPES,
     "p2_payload_events": P2_EVENTS,
 }
+
+
+def _digits(*names: str) -> str:
+    return f"coalesce(try_cast(regexp_extract({_text(*names)}, '^[+-]?[0-9]+') as bigint), 0)"
+
+
+_NAMED = f"""sn as (select *, coalesce({_text("traceId", "trace_id")}, '') trace_id, coalesce({_text("spanId", "span_id")}, '') span_id, coalesce({_text("name")}, '') as name, {_text("kind")} k, {_text("status.code")} c from sp)"""
+_ENTRY_VALUE = "coalesce(" + ", ".join(f"case when json_type(e->'$.value') = 'OBJECT' then e->>'$.value.{n}' end" for s in ("string", "int", "double", "bool") for n in (f"{s}Value", f"{s}_value")) + ", cast(e->'$.value' as varchar))"
+
+
+def _attributes(owner: str, a: str, source: str) -> str:
+    """The entries of attributes of each span, of entries with one key the last."""
+    bad = "json_type(e->'$.key') is null or json_type(e->'$.key') = 'NULL' or json_type(e->'$.value') is null or json_type(e->'$.value') = 'NULL'"
+    who = "payload_id, rs_no, ss_no, span_no, trace_id, span_id, name"
+    return f"""select {who}, '{owner}' as owner, k as key, arg_max(v, i) as value from (
+  select {who}, i, case when {bad} then '_unknown' else e->>'$.key' end k, case when {bad} then '' else {_ENTRY_VALUE} end v from (select {who}, unnest(l) e, unnest(range(len(l))) i from (select {who}, {_list(a)} l from {source} where json_type({a}) = 'ARRAY' or json_type({a}->'$.value') = 'OBJECT')) where json_type(e) = 'OBJECT'
+  union all select {who}, 0, k, {a}->>('$."' || k || '"') from (select {who}, {a}, unnest(json_keys({a})) k from {source} where json_type({a}) = 'OBJECT' and coalesce(json_type({a}->'$.value'), '') <> 'OBJECT')) group by all"""
+
+
+SQL["otlp_decode"] = f"""with {_LEVELS}, {_NAMED}, n as (select payload_id, rs_no, ss_no, span_no, count(*) n_events from ev group by all)
+select payload_id, trace_id, span_id, nullif({_text("parentSpanId", "parent_span_id")}, '') parent_span_id, name,
+  case when k in ('2', 'SPAN_KIND_SERVER') then 'server' when k in ('3', 'SPAN_KIND_CLIENT') then 'client' when k in ('4', 'SPAN_KIND_PRODUCER') then 'producer' when k in ('5', 'SPAN_KIND_CONSUMER') then 'consumer' else 'internal' end kind,
+  {_digits("startTimeUnixNano", "start_time_unix_nano")} start_time, {_digits("endTimeUnixNano", "end_time_unix_nano")} end_time,
+  {_digits("endTimeUnixNano", "end_time_unix_nano")} - {_digits("startTimeUnixNano", "start_time_unix_nano")} duration_ns,
+  case when c in ('1', 'STATUS_CODE_OK') then 'ok' when c in ('2', 'STATUS_CODE_ERROR') then 'error' else 'unset' end status, {_text("status.message")} status_message,
+  case when s.payload_id is not null then coalesce(s.name_, '') end scope_name, version_ scope_version, coalesce(n_events, 0) n_events
+from sn left join (select payload_id, rs_no, ss_no, {_text("name")} name_, {_text("version")} version_ from sc) s using (payload_id, rs_no, ss_no) left join n using (payload_id, rs_no, ss_no, span_no)"""
+SQL["otlp_attributes"] = f"""with {_LEVELS}, {_NAMED}, a as (select *, x->'$.attributes' a from sn), r as (select sn.* exclude (x), re.x->'$.attributes' a from sn join re using (payload_id, rs_no)),
+u as ({_attributes("span", "a", "a")} union all {_attributes("resource", "a", "r")}) select payload_id, trace_id, span_id, name, owner, key, try_cast(value as double) number, case when try_cast(value as double) is null and not starts_with(value, '{{') then value end as value, starts_with(value, '{{') is_json from u"""
+SQL["otlp_events"] = f"""with {_LEVELS}, {_NAMED}, e as (select *, row_number() over (partition by payload_id, rs_no, ss_no, span_no order by event_no) - 1 place from ev)
+select payload_id, trace_id, span_id, name, place event_no, coalesce(event_name, '') event_name, event_ts, n_attributes from (
+  select payload_id, rs_no, ss_no, span_no, place, {_text("name")} event_name, {_digits("timeUnixNano", "time_unix_nano")} event_ts,
+    case when json_type(x->'$.attributes') = 'OBJECT' and coalesce(json_type(x->'$.attributes.value'), '') <> 'OBJECT' then len(json_keys(x->'$.attributes')) else (select count(distinct case when json_type(a->'$.key') is null or json_type(a->'$.key') = 'NULL' or json_type(a->'$.value') is null or json_type(a->'$.value') = 'NULL' then '_unknown' else a->>'$.key' end) from (select unnest({_list("x->'$.attributes'")}) a) where json_type(a) = 'OBJECT') end n_attributes from e) join sn using (payload_id, rs_no, ss_no, span_no)"""

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
+from spanloom.config import EngineConfig
+from spanloom.engine import Engine
+from spanloom.functions import enums as E
+from spanloom.functions import ids as I
 from spanloom.operators import blocks as B
 from spanloom.operators import jaeger as J
 from spanloom.operators import search as S
 from spanloom.operators.filters import where
+from spanloom.plans import payload_sql
 from spanloom.runtime import cut, table, work_path
 from spanloom.sources import otlp
 from spanloom.sources.fixtures import event_spans, order_spans
-from spanloom.sources.schema import text
+from spanloom.sources.schema import promote, text
+from spanloom.sources.sdk import from_rest
 from spanloom.sources.store import SpanStore
 from spanloom.streaming.ingest import shard, tail
 
@@ -46,14 +54,8 @@ def _blocks(s, d):
     return B.live_blocks(table(s, d, "blocks"))
 
 
-def _tags(s, d):
-    x = event_spans(s, d).select("span_id", F.explode(J.span_tags()).alias("t")).select("span_id", "t.*")
-    y = order_spans(s, d).where("kind = 'server'").select("span_id", F.explode(J.map_tags(F.col("attributes"))).alias("t")).select("span_id", "t.*")
-    return x.unionByName(y).select("span_id", "key", "type", text(F.col("value")).alias("value"))
-
-
 def _span_tags(s, d):
-    """All tags of all spans; jaeger_tags_typed takes those of roots and events."""
+    """All tags of all spans."""
     x = order_spans(s, d).unionByName(event_spans(s, d)).select("span_id", F.explode(J.span_tags()).alias("t")).select("span_id", "t.*")
     return x.select("span_id", "key", "type", text(F.col("value")).alias("value"))
 
@@ -65,9 +67,8 @@ def _logs(s, d):
 
 def _ids(s, d):
     o = table(s, d, "orders").select("o_orderkey")
-    h = F.lower(F.lpad(F.hex("o_orderkey"), 32, "0"))
-    packed = F.when(h.rlike("^[0-9a-f]{32}$"), F.unhex(h)).otherwise(F.encode(h, "utf-8"))
-    return o.select("o_orderkey", h.alias("trace_hex"), F.lower(F.lpad(F.hex("o_orderkey"), 16, "0")).alias("span_hex"), F.octet_length(packed).cast("long").alias("n_bytes"), F.lower(F.hex(packed)).alias("round_trip"))
+    packed = I.pack_id(I.trace_hex("o_orderkey"))
+    return o.select("o_orderkey", I.trace_hex("o_orderkey").alias("trace_hex"), I.span_hex("o_orderkey").alias("span_hex"), F.octet_length(packed).cast("long").alias("n_bytes"), I.binary_hex(packed).alias("round_trip"))
 
 
 def _search_page(s, d):
@@ -89,15 +90,33 @@ def _jaeger_spans(s, d):
     return x.select("traceID", "spanID", "operationName", "startTime", "duration", "processID", F.size("references").cast("long").alias("n_refs"), F.get("references", F.lit(0))["spanID"].alias("parent"), text(status).alias("status"), F.size("tags").cast("long").alias("n_tags"))
 
 
-def _jaeger_json(s, d):
-    x = where(order_spans(s, d), {"trace_id": SOME_TRACE})
-    return J.jaeger_traces(x).select("trace_id", F.size(F.from_json("json", "spans array<string>")["spans"]).cast("long").alias("n_spans"))
+def _jaeger_documents(s, d):
+    """Every trace as a document, with its spans and processes taken out of the text again."""
+    span = "traceID string, spanID string, operationName string, startTime long, duration long, processID string, references array<struct<spanID:string>>, tags array<struct<key:string,type:string,value:string>>"
+    doc = F.from_json("json", f"traceID string, spans array<struct<{', '.join(x.replace(' ', ':', 1) for x in span.split(', '))}>>, processes map<string,struct<serviceName:string,tags:array<struct<key:string,value:string>>>>")
+    x = J.jaeger_traces(order_spans(s, d)).select("trace_id", doc.alias("d")).select("trace_id", F.posexplode("d.spans").alias("at", "x"), "d.processes")
+    p = F.col("processes")[F.col("x.processID")]
+    tag = F.get(F.filter("x.tags", lambda t: t["key"] == "http.status_code"), F.lit(0))
+    return x.select(
+        "trace_id",
+        F.col("at").cast("long").alias("place"),
+        F.col("x.spanID").alias("span_id"),
+        F.col("x.operationName").alias("name"),
+        F.col("x.startTime").alias("start_us"),
+        F.col("x.duration").alias("duration_us"),
+        F.get("x.references", F.lit(0))["spanID"].alias("parent"),
+        p["serviceName"].alias("service"),
+        F.get(p["tags"], F.lit(0))["value"].alias("host"),
+        F.size("x.tags").cast("long").alias("n_tags"),
+        F.concat_ws(" ", tag["type"], tag["value"]).alias("code"),
+    )
 
 
-def _jaeger_documents(s, d):
-    """Every trace as a document, with the spans and processes found in it."""
-    doc = F.from_json("json", "spans array<string>, processes map<string,string>")
-    return J.jaeger_traces(order_spans(s, d)).select("trace_id", F.size(doc["spans"]).cast("long").alias("n_spans"), F.size(doc["processes"]).cast("long").alias("n_processes"))
+def _jaeger_json(s, d):
+    """The text of every trace's document (one span in each: texts of several need SQL's
+    own JSON writer to agree in every blank)."""
+    x = where(event_spans(s, d), {}).withColumn("trace_id", F.col("span_id"))
+    return J.jaeger_traces(x).select("trace_id", "json")
 
 
 def _tail(s, d):
@@ -113,6 +132,10 @@ def _tail(s, d):
     return s.read.schema("event_id long, name string, status string, user_id long").parquet(f"{out}/rows/batch=*")
 
 
+def _totals(spans):
+    return spans.groupBy("status", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("total_ns"), F.min("start_time").alias("first"), F.max("start_time").alias("last"))
+
+
 def _compaction(orders):
     """The same totals before and after a store's blocks are rewritten and merged:
     events and orders in large blocks, but for four slices of about 250 events each
@@ -133,18 +156,117 @@ def _compaction(orders):
         blocks, got = store.manifest().count(), store.merge()
         if all(small) and (got != "ok" or store.manifest().count() >= blocks):
             raise RuntimeError(f"merge: {got}, {blocks} blocks before")
-        return store.spans().groupBy("status", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("total_ns"), F.min("start_time").alias("first"), F.max("start_time").alias("last"))
+        return _totals(store.spans())
 
     return run
 
 
+def _decoded(s, d):
+    return otlp.decode_json(table(s, d, "otlp_payloads"), keep=("payload_id",))
+
+
 def _otlp(s, d):
-    x = otlp.decode_json(table(s, d, "otlp_payloads"), keep=("payload_id",))
-    return x.select("payload_id", "trace_id", "span_id", "parent_span_id", "name", "kind", "start_time", "end_time", "status")
+    scope = F.col("instrumentation_scope")
+    return _decoded(s, d).select("payload_id", *COLS, scope["name"].alias("scope_name"), scope["version"].alias("scope_version"), F.size("events").cast("long").alias("n_events"))
+
+
+def _otlp_attributes(s, d):
+    """attributes and resource of every decoded span as rows. Numbers are compared as such,
+    JSON texts only counted, as a variant keeps neither trailing zeros nor the order of members."""
+    x = _decoded(s, d)
+    parts = [x.select("payload_id", "trace_id", "span_id", "name", F.lit(o).alias("owner"), F.explode(c).alias("key", "v")) for o, c in (("span", "attributes"), ("resource", "resource"))]
+    return parts[0].unionByName(parts[1]).select("payload_id", "trace_id", "span_id", "name", "owner", "key", *_comparable(text(F.col("v"))))
+
+
+def _comparable(v):
+    number = v.try_cast("double")
+    return number.alias("number"), F.when(number.isNull() & ~F.startswith(v, F.lit("{")), v).alias("value"), F.startswith(v, F.lit("{")).alias("is_json")
+
+
+def _otlp_events(s, d):
+    x = _decoded(s, d).select("payload_id", "trace_id", "span_id", "name", F.posexplode("events").alias("event_no", "e"))
+    return x.select("payload_id", "trace_id", "span_id", "name", F.col("event_no").cast("long").alias("event_no"), F.col("e.name").alias("event_name"), F.col("e.timestamp").alias("event_ts"), F.size("e.attributes").cast("long").alias("n_attributes"))
 
 
 def _shards(s, d):
-    return shard(order_spans(s, d), 4).groupBy("shard").agg(F.count(F.lit(1)).alias("n_spans"), F.countDistinct("trace_id").alias("n_traces"))
+    """Every shard is used, and a trace lies in one."""
+    x = shard(order_spans(s, d), 4).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("a"), F.max("shard").alias("b"))
+    return x.agg(F.sum("n").alias("n_spans"), F.count(F.lit(1)).alias("n_traces"), F.countDistinct("a").alias("n_shards"), F.min(F.col("a") == F.col("b")).alias("one_shard_each"))
+
+
+def _store(s, d, pieces=3):
+    """An engine over the orders as spans, in compressed and raw blocks."""
+    e = Engine(s, work_path(s, "engine"), EngineConfig(retention_max_age_s=None))
+    x = order_spans(s, d)
+    piece = F.pmod(F.xxhash64("trace_id"), F.lit(pieces))
+    for i in range(pieces):
+        if i == pieces - 1:
+            e.store.compact(force=True)
+        e.ingest(x.where(piece == i).coalesce(2))
+    return e
+
+
+def _store_trace(s, d):
+    return _cols(_store(s, d).trace(SOME_TRACE))
+
+
+def _store_search(s, d):
+    f = {"service": "furniture", "status": "error", "since": T1}
+    return _cols(where(_store(s, d)._spans(f), f))
+
+
+def _store_page(s, d):
+    """The newest page as the engine finds it, from the newest blocks alone."""
+    e = _store(s, d)
+    got = e.query({})
+    rows = [(*(r[c] for c in COLS), r["service_name"], got.total) for r in got.entries]
+    return s.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time long, end_time long, duration_ns long, status string, status_message string, service string, total long")
+
+
+def _store_concurrent(s, d):
+    """Two writers and a compacting third on one store: nothing is lost or doubled."""
+    root = work_path(s, "shared")
+    x, y = order_spans(s, d), event_spans(s, d)
+    half = F.pmod(F.xxhash64("trace_id"), F.lit(2))
+    writers = [[x.where(half == 0), y.where(half == 1)], [x.where(half == 1), y.where(half == 0)]]
+
+    def write(parts):
+        store = SpanStore(s, root)
+        return [store.append(p.coalesce(2)) for p in parts]
+
+    def compact():
+        store = SpanStore(s, root)
+        return [store.compact(force=True) for _ in range(2)]
+
+    with ThreadPoolExecutor(3) as pool:
+        jobs = [pool.submit(compact), *(pool.submit(write, w) for w in writers)]
+        for j in jobs:
+            j.result()
+    return _totals(SpanStore(s, root).spans())
+
+
+def _store_backup(s, d):
+    e = _store(s, d)
+    to = work_path(s, "copy")
+    e.backup(to)
+    return _totals(SpanStore(s, to).spans())
+
+
+def _store_counters(s, d):
+    """Lifetime counters of compaction, against the list of blocks."""
+    e = _store(s, d)
+    e.store.compact(force=True)
+    c = e.store.counters()
+    m = e.store.manifest()
+    return m.agg(F.sum("entry_count").alias("n_entries"), F.lit(c["compactions"]).cast("long").alias("compactions"), (F.sum("byte_size") == c["compressed_out"]).alias("sizes_agree"), F.lit(0 < c["compressed_out"] < c["raw_in"]).alias("smaller"))
+
+
+def _rest(s, d):
+    """Spans of the older layout, whose maps are one JSON text per row, read again."""
+    x = order_spans(s, d)
+    rest = F.to_json(F.struct("status_message", "attributes", "events", "resource"))
+    old = x.select(*(c for c in COLS if c != "status_message"), rest.alias("rest"))
+    return _cols(promote(from_rest(old)))
 
 
 QUERIES = {
@@ -188,18 +310,30 @@ QUERIES = {
     "jaeger_spans": _jaeger_spans,
     "jaeger_processes": _processes,
     "jaeger_process_tags": _process_tags,
-    "jaeger_tags_typed": _tags,
-    "jaeger_span_tags": _span_tags,
+    "jaeger_tags_typed": _span_tags,
     "jaeger_search_page": _search_page,
     "jaeger_trace_json": _jaeger_json,
     "jaeger_trace_documents": _jaeger_documents,
     "event_logs": _logs,
     "id_codec": _ids,
     "otlp_decode": _otlp,
+    "otlp_attributes": _otlp_attributes,
+    "otlp_events": _otlp_events,
+    "rest_layout": _rest,
+    "store_trace": _store_trace,
+    "store_search": _store_search,
+    "store_page": _store_page,
+    "store_services": lambda s, d: _store(s, d).store.services(),
+    "store_operations": lambda s, d: S.operations(_store(s, d)._spans({"service": "supplier-3"}), "supplier-3"),
+    "store_concurrent": _store_concurrent,
+    "store_backup": _store_backup,
+    "store_counters": _store_counters,
+    "block_formats": lambda s, d: _blocks(s, d).select("block_id", B.format_of("file_path").alias("block_format")),
+    "postings_insert_new": lambda s, d: B.insert_new(*(table(s, d, "trace_index").where(f"block_id % 3 {op}").select("trace_id", "block_id") for op in ("<> 0", "<> 1"))),
+    "enum_codes": lambda s, d: table(s, d, "spans").select("recv_no", E.kind_code(E.norm_kind("kind")).cast("long").alias("kind_code"), E.status_code(E.norm_status("status")).cast("long").alias("status_code"), E.kind_name(E.kind_code(E.norm_kind("kind"))).alias("kind"), E.status_name(E.status_code(E.norm_status("status"))).alias("status")),
     "shard_balance": _shards,
     "stream_tail_error": _tail,
-    "compaction_invariance": _compaction(lambda x: x.where("kind = 'server'")),
-    "compaction_all_spans": _compaction(lambda x: x),
+    "compaction_invariance": _compaction(lambda x: x),
 }
 
 # --- SQL ----------------------------------------------------------------------
@@ -248,6 +382,11 @@ def _over(weight: str, most: int) -> str:
     return f"select block_id from (select block_id, sum({weight}) over () - coalesce(sum({weight}) over (order by ts_min, block_id rows between unbounded preceding and 1 preceding), 0) r from x) where r > {most}"
 
 
+def _enum_sql(c: str, prefix: str, known: list[str], default: str) -> str:
+    v = f"regexp_replace(lower(trim({c})), '^{prefix}', '')"
+    return f"case when {v} in ({', '.join(repr(k) for k in known)}) then {v} else '{default}' end"
+
+
 SQL = {
     "spans_all_count": _s("select count(*) n from s"),
     "filter_status_error": _f("status = 'error'"),
@@ -292,12 +431,7 @@ SQL = {
   2 + (status_message is not null)::bigint + (attr_service is not null)::bigint + (attr_http_method is not null)::bigint + (attr_http_status_code is not null)::bigint + (attr_db_system is not null)::bigint n_tags from s"""),
     "jaeger_processes": _s("select distinct trace_id, service, 'p' || dense_rank() over (partition by trace_id order by service) process_id from s"),
     "jaeger_process_tags": _s("select trace_id, service, 'host.name' as key, 'string' as type, arg_max(res_host_name, row(start_time, span_id, res_host_name)) as value from s group by 1, 2"),
-    "jaeger_tags_typed": f"""with {_S_CTE}, {_E_CTE}
-select span_id, 'span.kind' as key, 'string' as type, kind as value from e union all select span_id, 'otel.status_code', 'string', upper(status) from e
-union all select span_id, 'k', 'string', attr_k from e where attr_k is not null
-union all select span_id, 'service.name', 'string', attr_service from s where kind = 'server' union all select span_id, 'http.method', 'string', attr_http_method from s where kind = 'server'
-union all select span_id, 'http.status_code', 'int64', cast(attr_http_status_code as varchar) from s where kind = 'server'""",
-    "jaeger_span_tags": f"""with {_S_CTE}, {_E_CTE}, u as (select span_id, kind, status, null::varchar status_message, null::varchar attr_service, null::varchar attr_http_method, null::bigint attr_http_status_code, null::varchar attr_db_system, attr_k from e
+    "jaeger_tags_typed": f"""with {_S_CTE}, {_E_CTE}, u as (select span_id, kind, status, null::varchar status_message, null::varchar attr_service, null::varchar attr_http_method, null::bigint attr_http_status_code, null::varchar attr_db_system, attr_k from e
   union all select span_id, kind, status, status_message, attr_service, attr_http_method, attr_http_status_code, attr_db_system, null from s)
 select span_id, 'span.kind' as key, 'string' as type, kind as value from u union all select span_id, 'otel.status_code', 'string', upper(status) from u
 union all select span_id, 'otel.status_description', 'string', status_message from u where status_message is not null
@@ -307,21 +441,34 @@ union all select span_id, 'http.status_code', 'int64', cast(attr_http_status_cod
 union all select span_id, 'db.system', 'string', attr_db_system from u where attr_db_system is not null
 union all select span_id, 'k', 'string', attr_k from u where attr_k is not null""",
     "jaeger_search_page": _s(f", p as (select * from s where service = 'furniture' and duration_ns >= 1000000000 order by start_time desc, {_ORDER} limit 50) select trace_id, count(*) n_spans from p group by 1"),
-    "jaeger_trace_json": _s(f"select trace_id, count(*) n_spans from s where trace_id = '{SOME_TRACE}' group by 1"),
-    "jaeger_trace_documents": _s("select trace_id, count(*) n_spans, count(distinct service) n_processes from s group by 1"),
+    "jaeger_trace_json": f"""with {_E_CTE}, j as (select *, to_json(attr_k) k, start_time // 1000 us, replace(name, '"', '') nm from e)
+select span_id trace_id, '{{"traceID":"' || span_id || '","spans":[{{"traceID":"' || span_id || '","spanID":"' || span_id || '","operationName":"' || nm || '","references":[' ||
+  case when parent_span_id is null then '' else '{{"refType":"CHILD_OF","traceID":"' || span_id || '","spanID":"' || parent_span_id || '"}}' end || '],"startTime":' || us || ',"duration":' || duration_ns // 1000 ||
+  ',"tags":[{{"key":"span.kind","type":"string","value":"' || kind || '"}},{{"key":"otel.status_code","type":"string","value":"' || upper(status) || '"}}' || case when attr_k is null then '' else ',{{"key":"k","type":"string","value":' || k || '}}' end ||
+  '],"logs":[{{"timestamp":' || us || ',"fields":[{{"key":"event","type":"string","value":"' || nm || '"}}' || case when attr_k is null then '' else ',{{"key":"k","type":"string","value":' || k || '}}' end ||
+  ']}}],"processID":"p1","warnings":null}}],"processes":{{"p1":{{"serviceName":"' || service || '","tags":[]}}}},"warnings":null}}' json from j""",
+    "jaeger_trace_documents": _s("""select trace_id, row_number() over (partition by trace_id order by start_time // 1000, span_id, duration_ns // 1000, name, service) - 1 place, span_id, name, start_time // 1000 start_us, duration_ns // 1000 duration_us, parent_span_id parent, service,
+  arg_max(res_host_name, row(start_time, span_id, res_host_name)) over (partition by trace_id, service) host,
+  2 + (status_message is not null)::bigint + (attr_service is not null)::bigint + (attr_http_method is not null)::bigint + (attr_http_status_code is not null)::bigint + (attr_db_system is not null)::bigint n_tags,
+  case when attr_http_status_code is null then '' else 'int64 ' || attr_http_status_code end code from s"""),
     "event_logs": f"with {_E_CTE} select span_id, start_time // 1000 ts_us, 'event' as key, name as value from e union all select span_id, start_time // 1000, 'k', attr_k from e where attr_k is not null",
     "id_codec": "select o_orderkey, lower(lpad(hex(o_orderkey), 32, '0')) trace_hex, lower(lpad(hex(o_orderkey), 16, '0')) span_hex, cast(octet_length(unhex(lpad(hex(o_orderkey), 32, '0'))) as bigint) n_bytes, lower(hex(unhex(lpad(hex(o_orderkey), 32, '0')))) round_trip from orders",
     "stream_tail_error": "select event_id, event_type as name, 'error' as status, user_id from events where event_type = 'error'",
-    "compaction_invariance": f"""with {_S_CTE}, {_E_CTE}, u as (select status, kind, duration_ns, start_time from e union all select status, kind, duration_ns, start_time from s where kind = 'server')
-select status, kind, count(*) n, cast(sum(duration_ns) as bigint) total_ns, min(start_time) "first", max(start_time) "last" from u group by 1, 2""",
-    "compaction_all_spans": f"""with {_S_CTE}, {_E_CTE}, u as (select status, kind, duration_ns, start_time from e union all select status, kind, duration_ns, start_time from s)
+    "compaction_invariance": f"""with {_S_CTE}, {_E_CTE}, u as (select status, kind, duration_ns, start_time from e union all select status, kind, duration_ns, start_time from s)
 select status, kind, count(*) n, cast(sum(duration_ns) as bigint) total_ns, min(start_time) "first", max(start_time) "last" from u group by 1, 2""",
-    "otlp_decode": """with p as (select payload_id, json(body) j from otlp_payloads where body is not null and json_valid(body)),
-r as (select payload_id, unnest(cast(j->'$.resourceSpans' as json[])) r from p where json_type(j->'$.resourceSpans') = 'ARRAY'),
-c as (select payload_id, unnest(cast(r->'$.scopeSpans' as json[])) c from r where json_type(r->'$.scopeSpans') = 'ARRAY'),
-x as (select payload_id, unnest(cast(c->'$.spans' as json[])) x from c where json_type(c->'$.spans') = 'ARRAY')
-select payload_id, coalesce(x->>'$.traceId', '') trace_id, coalesce(x->>'$.spanId', '') span_id, nullif(x->>'$.parentSpanId', '') parent_span_id, coalesce(x->>'$.name', '') as name,
-  case when x->>'$.kind' in ('2', 'SPAN_KIND_SERVER') then 'server' when x->>'$.kind' in ('3', 'SPAN_KIND_CLIENT') then 'client' when x->>'$.kind' in ('4', 'SPAN_KIND_PRODUCER') then 'producer' when x->>'$.kind' in ('5', 'SPAN_KIND_CONSUMER') then 'consumer' else 'internal' end kind,
-  coalesce(try_cast(x->>'$.startTimeUnixNano' as bigint), 0) start_time, coalesce(try_cast(x->>'$.endTimeUnixNano' as bigint), 0) end_time,
-  case x->>'$.status.code' when '1' then 'ok' when '2' then 'error' when 'STATUS_CODE_OK' then 'ok' when 'STATUS_CODE_ERROR' then 'error' else 'unset' end status from x""",
+    **{k: payload_sql.SQL[k] for k in ("otlp_decode", "otlp_attributes", "otlp_events")},
+    "rest_layout": _s(f"select {_SC} from s"),
+    "store_trace": _f(f"trace_id = '{SOME_TRACE}'"),
+    "store_search": _f(f"service = 'furniture' and status = 'error' and start_time >= {T1}"),
+    "store_page": _s(f"select {_SC}, (select count(*) from s) total from s order by start_time desc, {_ORDER} limit 100"),
+    "store_services": _s("select distinct service from (select service from s) where service is not null"),
+    "store_operations": _s("select distinct name operation from s where service = 'supplier-3'"),
+    "store_counters": _s("select count(*) n_entries, 2::bigint compactions, true sizes_agree, true smaller from s"),
+    "store_backup": _s("select status, kind, count(*) n, cast(sum(duration_ns) as bigint) total_ns, min(start_time) \"first\", max(start_time) \"last\" from s group by 1, 2"),
+    "block_formats": f"with {_LIVE} select block_id, case regexp_extract(file_path, '\\.([a-z]+)$', 1) when 'raw' then 'raw' when 'zst' then 'zstd' when 'ozl' then 'openzl' end block_format from b",
+    "postings_insert_new": "select distinct trace_id, block_id from trace_index where block_id is not null",
+    "enum_codes": f"""with x as (select recv_no, {_enum_sql("kind", "span_kind_", E.KINDS, "internal")} kind, {_enum_sql("status", "status_code_", E.STATUSES, "unset")} status from spans)
+select recv_no, cast(list_position({E.KINDS}, kind) - 1 as bigint) kind_code, cast(list_position({E.STATUSES}, status) - 1 as bigint) status_code, kind, status from x""",
+    "shard_balance": _s("select count(*) n_spans, count(distinct trace_id) n_traces, 4::bigint n_shards, true one_shard_each from s"),
 }
+SQL["store_concurrent"] = SQL["compaction_invariance"]

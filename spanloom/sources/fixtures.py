@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.runtime import table
-from spanloom.sources.schema import PROMOTED, SPAN_SCHEMA, variant_map
+from spanloom.sources.schema import PROMOTED, RESOURCE_TERMS, SPAN_SCHEMA, variant_map
 
 _KINDS = dict(x.strip().split(" ", 1) for x in SPAN_SCHEMA.replace(", ", "\n").split("\n"))
 
@@ -90,6 +90,7 @@ def order_spans(spark: SparkSession, d: str) -> DataFrame:
         variant_map(service__name=F.col("r_service"), host__name=F.col("r_host")).alias("resource"),
         F.lit(None).cast(_KINDS["instrumentation_scope"]).alias("instrumentation_scope"),
         *(promoted.get(k, none).alias(c) for k, c in PROMOTED.items()),
+        *((F.col("r_host") if k == "host.name" else none).alias(c) for k, c in RESOURCE_TERMS.items()),
     )
 
 
@@ -116,5 +117,6 @@ def event_spans(spark: SparkSession, d: str) -> DataFrame:
         variant_map(service__name=service).alias("resource"),
         F.lit(None).cast(_KINDS["instrumentation_scope"]).alias("instrumentation_scope"),
         *((service if c == "service_name" else none).alias(c) for c in PROMOTED.values()),
+        *(none.alias(c) for c in RESOURCE_TERMS.values()),
     )
     return e.withColumn("end_time", F.col("start_time") + F.col("duration_ns"))

@@ -9,7 +9,7 @@ from urllib.parse import parse_qs, unquote, urlparse
 
 from spanloom.engine import Engine
 from spanloom.operators import jaeger as J
-from spanloom.sources.otlp import DecodeError, decode_json, decode_protobuf, parse_protobuf
+from spanloom.sources.otlp import DecodeError, parse_protobuf
 
 JSON = "application/json"
 
@@ -33,13 +33,12 @@ def _ingest(engine: Engine, headers: dict[str, str], body: bytes) -> tuple[int,
     """A batch is taken whole or not at all."""
     if len(body) > engine.store.config.max_body_bytes:
         return _error(413, "body too large")
-    spark = engine.store.spark
     if "application/x-protobuf" in headers.get("content-type", JSON):
         try:
-            parse_protobuf(body)
+            n = len(parse_protobuf(body))
         except (DecodeError, OSError, EOFError, ValueError, AttributeError, TypeError):
             return _error(400, "invalid protobuf")
-        engine.ingest(decode_protobuf(spark.createDataFrame([(bytearray(body),)], "body binary")))
+        engine.accept(body, True, n)
         return 200, "{}"
     try:
         got = json.loads(body)
@@ -47,7 +46,7 @@ def _ingest(engine: Engine, headers: dict[str, str], body: bytes) -> tuple[int,
         return _error(400, "invalid JSON")
     if not isinstance(got, dict) or not isinstance(got.get("resourceSpans"), list):
         return _error(400, "missing resourceSpans")
-    engine.ingest(decode_json(spark.createDataFrame([(body.decode(),)], "body string")))
+    engine.accept(body, False, body.count(b'"spanId"') + body.count(b'"span_id"'))
     return 200, "{}"
 
 
@@ -87,6 +86,7 @@ def handle(engine: Engine, method: str, url: str, headers: dict[str, str], body:
                 path = None
             return 200, json.dumps({"status": "ok", **engine.backup(path or f"{engine.store.root}-backup")})
         case ("GET" | "POST"), ["api", "v1", "flush"]:
+            engine.flush()
             return 200, json.dumps({"status": "ok"})
     return _error(404, "not found")
 

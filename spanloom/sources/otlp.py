@@ -6,7 +6,7 @@ import base64
 import gzip
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,24 +31,48 @@ def _last_wins(entries: Column) -> Column:
     return F.map_from_arrays(keys, values)
 
 
+def _first(v: Column, names: Sequence[str], kind: str) -> Column:
+    return F.coalesce(*(_get(v, n, kind) for n in names))
+
+
+def _both(name: str) -> tuple[str, str]:
+    """A member's name and its snake_case spelling."""
+    return name, "".join(f"_{c.lower()}" if c.isupper() else c for c in name)
+
+
+def _object(v: Column, *names: str) -> Column:
+    """The first member that is an object."""
+    return F.coalesce(*(F.when(_get(v, n, _MAP).isNotNull(), _get(v, n, "variant")) for n in names))
+
+
+def _list(v: Column, *names: str) -> Column:
+    """The objects of a member that is an array; an object stands for a list of itself."""
+    whole = F.coalesce(_first(v, names, "array<variant>"), F.array(_object(v, *names)), F.array().cast("array<variant>"))
+    return F.filter(whole, lambda e: F.try_variant_get(e, "$", _MAP).isNotNull())
+
+
 def attributes(owner: Column) -> Column:
     """attributes of a JSON object as a map. A value is the first of string, int,
     double and bool that is there, as it is written; any other value is its
-    JSON text; an entry without key or value is _unknown = ''."""
+    JSON text; an entry without key or value is _unknown = ''. attributes that are
+    an object, but no entry, are taken as a map of plain values."""
 
     def one(a: Column) -> Column:
         key, value = _get(a, "key", "string"), _get(a, "value", "variant")
-        v = F.coalesce(*(_get(a, f"value.{k}", "variant") for k in ("stringValue", "intValue", "doubleValue", "boolValue")), F.to_json(value).cast("variant"))
-        bad = key.isNull() | value.isNull()
+        scalars = [_get(a, f"value.{k}", "variant") for n in ("stringValue", "intValue", "doubleValue", "boolValue") for k in _both(n)]
+        v = F.coalesce(*(F.when(~F.is_variant_null(x), x) for x in scalars), F.to_json(value).cast("variant"))
+        bad = key.isNull() | value.isNull() | F.is_variant_null(value)
         return F.named_struct(F.lit("k"), F.when(bad, "_unknown").otherwise(key), F.lit("v"), F.when(bad, F.lit("").cast("variant")).otherwise(v))
 
-    none = F.array().cast("array<variant>")
-    return _last_wins(F.transform(F.coalesce(_get(owner, "attributes", "array<variant>"), none), one))
+    m = _get(owner, "attributes", _MAP)
+    entry = m["key"].isNotNull() & F.try_variant_get(m["value"], "$", _MAP).isNotNull()
+    plain = F.transform_values(m, lambda _, v: F.when(F.try_variant_get(v, "$", _MAP).isNotNull() | F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.to_json(v).cast("variant")).otherwise(v))
+    return F.when(m.isNotNull() & ~F.coalesce(entry, F.lit(False)), plain).otherwise(_last_wins(F.transform(_list(owner, "attributes"), one)))
 
 
-def _ns(v: Column, path: str) -> Column:
+def _ns(v: Column, name: str) -> Column:
     """Nanoseconds written as number or text; only whole digits at the start count, else 0."""
-    return F.coalesce(F.regexp_extract(_get(v, path, "string"), r"^[+-]?[0-9]+", 0).try_cast("bigint"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_extract(_first(v, _both(name), "string"), r"^[+-]?[0-9]+", 0).try_cast("bigint"), F.lit(0).cast("long"))
 
 
 def _code(v: Column, codes: dict[int, str], prefix: str, default: str) -> Column:
@@ -59,27 +83,26 @@ def _code(v: Column, codes: dict[int, str], prefix: str, default: str) -> Column
 
 
 def decode_json(payloads: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Spans of OTLP JSON requests (newer member names, lists of objects), in
-    canonical columns; keep: columns of payloads that come along. A body that is
-    null or no JSON, or holds no resourceSpans, gives no rows. For the dirtier
-    shapes see operators.nested, which understands all spellings."""
+    """Spans of OTLP JSON requests in canonical columns; keep: columns of payloads that
+    come along. Members may be spelt in camelCase or snake_case, scopes by their older
+    name, and an object may stand for a list of one. A body that is null or no JSON, or
+    holds no resource spans, gives no rows."""
     b = payloads.select(*keep, F.try_parse_json(body).alias("_b"))
-    b = b.select(*keep, F.explode(_get(F.col("_b"), "resourceSpans", "array<variant>")).alias("_r"))
-    b = b.select(*keep, attributes(_get(F.col("_r"), "resource", "variant")).alias("resource"), F.explode(_get(F.col("_r"), "scopeSpans", "array<variant>")).alias("_s"))
-    b = b.select(*keep, "resource", _get(F.col("_s"), "scope", "variant").alias("_c"), F.explode(_get(F.col("_s"), "spans", "array<variant>")).alias("_p"))
+    b = b.select(*keep, F.explode(_list(F.col("_b"), *_both("resourceSpans"))).alias("_r"))
+    b = b.select(*keep, attributes(_object(F.col("_r"), "resource")).alias("resource"), F.explode(_list(F.col("_r"), *_both("scopeSpans"), *_both("instrumentationLibrarySpans"))).alias("_s"))
+    b = b.select(*keep, "resource", _object(F.col("_s"), "scope", *_both("instrumentationLibrary")).alias("_c"), F.explode(_list(F.col("_s"), "spans")).alias("_p"))
     p = F.col("_p")
     scope = F.when(F.col("_c").isNotNull(), F.struct(F.coalesce(_get(F.col("_c"), "name", "string"), F.lit("")).alias("name"), _get(F.col("_c"), "version", "string").alias("version")))
 
     def event(e: Column) -> Column:
         return F.named_struct(F.lit("name"), F.coalesce(_get(e, "name", "string"), F.lit("")), F.lit("timestamp"), _ns(e, "timeUnixNano"), F.lit("attributes"), attributes(e))
 
-    none = F.array().cast("array<variant>")
     start, end = _ns(p, "startTimeUnixNano"), _ns(p, "endTimeUnixNano")
     return b.select(
         *keep,
-        F.coalesce(_get(p, "traceId", "string"), F.lit("")).alias("trace_id"),
-        F.coalesce(_get(p, "spanId", "string"), F.lit("")).alias("span_id"),
-        F.nullif(_get(p, "parentSpanId", "string"), F.lit("")).alias("parent_span_id"),
+        F.coalesce(_first(p, _both("traceId"), "string"), F.lit("")).alias("trace_id"),
+        F.coalesce(_first(p, _both("spanId"), "string"), F.lit("")).alias("span_id"),
+        F.nullif(_first(p, _both("parentSpanId"), "string"), F.lit("")).alias("parent_span_id"),
         F.coalesce(_get(p, "name", "string"), F.lit("")).alias("name"),
         _code(_get(p, "kind", "string"), KIND_CODES, "SPAN_KIND_", "internal").alias("kind"),
         start.alias("start_time"),
@@ -88,7 +111,7 @@ def decode_json(payloads: DataFrame, body: str = "body", keep: tuple[str, ...] =
         _code(_get(p, "status.code", "string"), STATUS_CODES, "STATUS_CODE_", "unset").alias("status"),
         _get(p, "status.message", "string").alias("status_message"),
         attributes(p).alias("attributes"),
-        F.transform(F.coalesce(_get(p, "events", "array<variant>"), none), event).alias("events"),
+        F.transform(_list(p, "events"), event).alias("events"),
         "resource",
         scope.alias("instrumentation_scope"),
     )
@@ -231,7 +254,7 @@ def parse_protobuf(body: bytes) -> list[dict]:
     return out
 
 
-_FLAT = "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time bigint, end_time bigint, duration_ns bigint, status string, status_message string, attributes string, events string, resource string, scope string"
+FLAT = "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time bigint, end_time bigint, duration_ns bigint, status string, status_message string, attributes string, events string, resource string, scope string"
 
 
 def variant_fields(flat: DataFrame) -> DataFrame:
@@ -253,7 +276,7 @@ def decode_protobuf(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Spans of binary OTLP requests; a body that can't be decoded gives no rows.
     The wire format is read in Python, as the built-in reader needs a package
     that may be missing."""
-    names = [x.split()[0] for x in _FLAT.split(", ")]
+    names = [x.split()[0] for x in FLAT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,4 +290,4 @@ def decode_protobuf(payloads: DataFrame, body: str = "body") -> DataFrame:
                 some = rows[k : k + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in some], pa.int64() if n.endswith(("_time", "_ns")) else pa.string()) for n in names], names)
 
-    return variant_fields(payloads.select(body).mapInArrow(run, _FLAT))
+    return variant_fields(payloads.select(body).mapInArrow(run, FLAT))

@@ -21,6 +21,9 @@ TERM_ATTRIBUTES = ["http.method", "http.status_code", "http.route", "db.system",
 TERM_BOTH = ["host", "host.name"]
 PROMOTED = {"service.name": "service_name", **{k: "p_" + k.replace(".", "_") for k in TERM_BOTH + TERM_ATTRIBUTES}}
 
+#: The resource's own value of the keys that are terms in both places.
+RESOURCE_TERMS = {k: "r_" + k.replace(".", "_") for k in TERM_BOTH}
+
 #: The name and all attribute values that are strings, in lower case, between
 #: zero characters: what the name condition looks through.
 SEARCH_TEXT = "search_text"
@@ -47,7 +50,7 @@ def string_values(m: Column) -> Column:
 def promote(spans: DataFrame) -> DataFrame:
     """Adds the promoted columns and the text that names are looked up in."""
     found = F.lower(F.concat_ws("\0", F.array("name"), string_values(F.col("attributes"))))
-    return spans.withColumns({**{c: lookup(k) for k, c in PROMOTED.items()}, SEARCH_TEXT: found})
+    return spans.withColumns({**{c: lookup(k) for k, c in PROMOTED.items()}, **{c: text(F.col("resource")[k]) for k, c in RESOURCE_TERMS.items()}, SEARCH_TEXT: found})
 
 
 def variant_map(**values: Column) -> Column:

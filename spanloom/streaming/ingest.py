@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.operators.filters import Filters, where
 from spanloom.sources.otlp import decode_json
+from spanloom.sources.schema import text
 from spanloom.sources.store import SpanStore
 
 
@@ -40,6 +41,7 @@ def tail(spans: DataFrame, filters: Filters, deliver: Callable[[DataFrame, int],
 
 
 def shard(spans: DataFrame, n: int) -> DataFrame:
-    """Adds shard, 0 .. n - 1, by trace_id, else service, else name, else the whole span."""
-    key = F.coalesce(F.nullif("trace_id", F.lit("")), "service_name", F.nullif("name", F.lit("")), F.to_json(F.struct("span_id", "start_time", "end_time")))
+    """Adds shard, 0 .. n - 1, by trace_id, else the attributes' service, else name, else the whole span."""
+    service = text(F.col("attributes")["service.name"])
+    key = F.coalesce(F.nullif("trace_id", F.lit("")), service, F.nullif("name", F.lit("")), F.to_json(F.struct("span_id", "start_time", "end_time")))
     return spans.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))

@@ -1,18 +1,27 @@
 import gzip
 import json
+import shutil
 import struct
 import threading
+import time
 import urllib.request
 from dataclasses import replace
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from spanloom.config import EngineConfig
 from spanloom.engine import Engine
+from spanloom.functions.enums import kind_code, kind_name, status_code, status_name
+from spanloom.functions.ids import binary_hex, lookup_keys, pack_id, span_hex, trace_hex
+from spanloom.operators import blocks as B
 from spanloom.sources.http import handle, serve
 from spanloom.sources.otlp import decode_json, decode_protobuf, parse_protobuf
-from spanloom.sources.store import CorruptBlock, SpanStore
+from spanloom.sources.sdk import Exporter, from_rest
+from spanloom.sources.store import CorruptBlock, SpanStore, UnknownVersion, _signature_bits, signature_of
+from spanloom.streaming.buffer import Buffer
 from spanloom.streaming.ingest import ingest, payload_stream, shard, tail
 from test_search import SHAPE, frame, span
 
@@ -66,7 +75,11 @@ def test_missing_and_corrupt_blocks(spark, store, tmp_path):
     put(spark, store, 6, 9)
     files = [r.file_path for r in store.manifest().orderBy("ts_min").collect()]
     (tmp_path / "store" / files[0]).unlink()
-    assert [r[1] for r in view(store)] == [f"s{i:03d}" for i in (3, 6, 4, 7, 5, 8)] or len(view(store)) == 6
+    told = []
+    store.note = lambda event, **what: told.append((event, what.get("file_path")))
+    assert len(view(store)) == 6 and told == [("block.missing", files[0])] and store.manifest().count() == 2
+    put(spark, store, 0, 3)
+    (tmp_path / "store" / store.manifest().orderBy("ts_min").first().file_path).unlink()
     assert store.reconcile() == 1 and store.manifest().count() == 2
     bad = tmp_path / "store" / files[1]
     (bad.parent / f".{bad.name}.crc").unlink(missing_ok=True)
@@ -75,6 +88,168 @@ def test_missing_and_corrupt_blocks(spark, store, tmp_path):
     with pytest.raises(CorruptBlock):
         store.compact(force=True)
     assert store.manifest().count() == 2 and bad.exists()
+    assert [(b, n, k) for b, n, k in store.verify()] == [(files[1].removeprefix("blocks/"), 3, 0)] and told[-1][0] == "block.error"
+
+
+def test_writers_lose_nothing(spark, store):
+    """Two writers and a compaction at once: whatever was acknowledged is there once."""
+    other, acked, failed = SpanStore(spark, store.root, CONF), [], []
+
+    def write(s, lo):
+        try:
+            for k in range(4):
+                acked.append(s.append(spark.createDataFrame([span(i, trace=f"t{i % 5}") for i in range(lo + 100 * k, lo + 100 * k + 100)], SHAPE).coalesce(1)))
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(s, lo)) for s, lo in ((store, 0), (other, 400))]
+    for t in threads:
+        t.start()
+    third = SpanStore(spark, store.root, CONF)
+    for _ in range(3):
+        third.compact(force=True)
+    for t in threads:
+        t.join()
+    assert not failed and sum(acked) == 800
+    got = [r.span_id for r in store.spans().select("span_id").collect()]
+    assert sorted(got) == sorted(f"s{i:03d}" for i in range(800))
+    # two compactions of the same blocks: one of them wins
+    put(spark, store, 900, 905)
+    results = []
+    pair = [threading.Thread(target=lambda s=s: results.append(s.compact(force=True))) for s in (store, other)]
+    for t in pair:
+        t.start()
+    for t in pair:
+        t.join()
+    assert "ok" in results and SpanStore(spark, store.root, CONF).spans().count() == 805
+
+
+def test_open_reader_outlives_compaction_until_vacuum(spark, store):
+    for k in range(3):
+        put(spark, store, 100 * k, 100 * k + 100)
+    held, listed = store.spans(), store.manifest()
+    assert store.compact(force=True) == "ok" and store.vacuum() == 0
+    assert held.count() == 300 and listed.count() == 3
+    assert store.vacuum(older_than_s=0) == 3 and store.vacuum(older_than_s=0) == 0
+    with pytest.raises(Exception, match="(?i)not exist|no such file|FILE_NOT_EXIST"):
+        held.select("span_id").collect()
+    assert len(view(store)) == 300 and store.trace(["t1"]).where("trace_id = 't1'").count() == 60
+
+
+def test_checkpoints_and_versions(spark, store, tmp_path):
+    for k in range(22):
+        put(spark, store, k, k + 1)
+    assert store.delete_before(2_000) == 2
+    again = SpanStore(spark, store.root, CONF)
+    assert again.refresh() == 23 and len(view(again)) == 20 and again.counters() == store.counters()
+    assert json.loads((tmp_path / "store/log/checkpoint").read_text())["version"] == 20
+    (tmp_path / "store/log" / f"{24:020d}.json").write_text(json.dumps({"format": 99}))
+    with pytest.raises(UnknownVersion):
+        again.refresh()
+
+
+def test_a_store_of_the_first_format_is_taken_over(spark, store, tmp_path):
+    put(spark, store, 0, 5)
+    old = tmp_path / "old"
+    m = store.manifest().drop("n_terms")
+    shutil.copytree(tmp_path / "store/blocks", old / "blocks")
+    m.coalesce(1).write.parquet(str(old / "manifest/m1"))
+    (old / "CURRENT").write_text(json.dumps({"version": 1, "name": "m1", "counters": {"raw_in": 7, "compressed_out": 3, "compactions": 1}}))
+    got = SpanStore(spark, str(old), CONF)
+    assert view(got) == view(store) and got.counters()["raw_in"] == 7
+    assert got.trace(["t1"]).where("trace_id = 't1'").count() == 1 and got.spans(terms=["kind:server"]).count() == 5
+    put(spark, got, 5, 8)
+    assert got.compact(force=True) == "ok" and len(view(SpanStore(spark, str(old), CONF))) == 8
+
+
+def test_index_rules_blocks_out(spark, store):
+    put(spark, store, 0, 10)
+    store.append(spark.createDataFrame([span(i, trace="other", kind="client", attrs={"host": "h1"}, res={"service.name": "db", "host": "h2"}) for i in range(20, 30)], SHAPE).coalesce(1))
+    assert [t["entry_count"].to_pylist() for t in (store.pruned(terms=["kind:client"]), store.pruned(terms=["host:h1", "host:h2"]), store.pruned(terms=["kind:none"]))] == [[10], [10], []]
+    assert store.trace_blocks(["other"]).num_rows == 1 and store.trace_blocks(["t1"]).num_rows == 1 and store.trace_blocks(["zz"]).num_rows == 0
+    want = {(r.block_id, r.term) for r in B.term_index(store.spans(), F.regexp_extract(F.col("_metadata")["file_path"], "blocks/(.*)", 1)).collect()}
+    assert {(r.block_id, r.term) for r in store.term_index().collect()} == want and any(t == "host:h2" for _, t in want)
+    slow = {(r.block_id, r.term) for r in store.spans().select(F.regexp_extract(F.col("_metadata")["file_path"], "blocks/(.*)", 1).alias("block_id"), F.explode(B.terms()).alias("term")).distinct().collect()}
+    assert slow == want
+    terms = ["kind:server", "name:ü", "x"]
+    bits = spark.range(1).select(_signature_bits(F.array(*map(F.lit, terms)))).first()[0]
+    assert sum(1 << b for b in bits) == signature_of(terms)
+    many = SpanStore(spark, store.root, CONF)
+    from spanloom.sources import store as module
+
+    direct, module.DIRECT_SEGMENTS = module.DIRECT_SEGMENTS, 0  # the ways of large stores
+    try:
+        assert many.trace_blocks(["other"]).num_rows == 1 and many.spans(terms=["kind:client"]).count() == 10
+    finally:
+        module.DIRECT_SEGMENTS = direct
+
+
+def test_engine_early_exit_memory_and_background(spark, tmp_path):
+    conf = replace(CONF, compaction_interval_s=0.2, retention_interval_s=0.3, vacuum_after_s=0.0, buffer_shards=2, flush_interval_s=0.2)
+    e, m = Engine(spark, str(tmp_path / "e"), conf), Engine(spark, config=replace(conf, storage="memory"))
+    df = [span(i, trace=f"t{i % 5}", status="error" if i % 3 else "ok") for i in range(60)]
+    for lo in range(0, 60, 10):
+        for x in (e, m):
+            assert x.ingest(spark.createDataFrame(df[lo : lo + 10], SHAPE).coalesce(1)) == 10
+    for f in ({}, {"limit": 7}, {"limit": 5, "offset": 3, "count_total": False}, {"status": "error", "limit": 4, "count_total": False}, {"status": "ok", "limit": 50, "count_total": False}, {"since": 30_000, "limit": 3, "count_total": False}, {"order": "asc", "limit": 3}, {"service": "none"}):
+        a, b = e.query(f), m.query(f)
+        assert [r.span_id for r in a.entries] == [r.span_id for r in b.entries] and (a.total, a.has_more) == (b.total, b.has_more), f
+    assert [r.span_id for r in e.trace("t3").collect()] == [r.span_id for r in m.trace("t3").collect()] == [f"s{i:03d}" for i in range(3, 60, 5)]
+    assert m.services() == e.services() == ["api"] and m.operations("api") == ["HTTP GET /users"]
+    e.start()
+    for _ in range(100):
+        if "retention.stop" in {k for k, _ in e.events} and ("compaction.stop", "ok") in {(k, w.get("result")) for k, w in e.events}:
+            break
+        time.sleep(0.1)
+    e.accept(json.dumps(BODY).encode(), False, 2)
+    e.stop()
+    e.merge()
+    assert e.query({"limit": 0}).total == 62 and {"compaction.stop", "merge.stop", "retention.stop", "flush.stop", "query.stop"} <= {k for k, _ in e.events}
+    with pytest.raises(Exception, match="(?i)cancel"):
+        replace_timeout = Engine(spark, str(tmp_path / "e"), replace(conf, query_timeout_s=0.5))
+        replace_timeout._timed(lambda: spark.range(10**12).selectExpr("sum(hash(id, id + 1) % 7)").collect())
+
+
+def test_buffer_flushes_by_size_time_and_keeps_after_failure():
+    got, broken = [], [True]
+
+    def write(items):
+        if broken[0]:
+            raise OSError("disk")
+        got.append(items)
+
+    b = Buffer(write, 3, 0.2)
+    b.add("a", 1)
+    with pytest.raises(OSError):
+        b.add("b", 2)
+    broken[0] = False
+    b.flush()
+    b.add("c", 1)
+    time.sleep(0.5)
+    assert got == [["a", "b"], ["c"]]
+
+
+def test_sdk_export_and_older_layout(spark, tmp_path):
+    n = SimpleNamespace
+    ok = n(context=n(trace_id=255, span_id=17), parent=n(span_id=1), name="op", kind=n(value=1), start_time=10, end_time=25, status=n(status_code=n(value=2), description="bad"), attributes={"n": 1, "l": (1, 2)},
+           events=[n(name="e", timestamp=5, attributes={"k": "v"})], resource=n(attributes={"service.name": "sdk"}), instrumentation_scope=n(name="lib", version=""))
+    root = n(context=n(trace_id=255, span_id=1), parent=None, name="root", kind=0, start_time=1, end_time=None, status=n(status_code=1, description=None), attributes=None, events=None, resource=None)
+    e = Engine(spark, str(tmp_path / "s"), CONF)
+    assert Exporter(e).export([ok, "no span", root, n(name="half")]) == 2 and Exporter(e).force_flush()
+    a, b = e.trace(255).collect()[::-1]
+    assert (a.trace_id, a.span_id, a.parent_span_id, a.kind, a.status, a.status_message, a.duration_ns, a.service_name) == ("0" * 30 + "ff", "0" * 14 + "11", "0" * 15 + "1", "server", "error", "bad", 15, "sdk")
+    assert {k: v.toPython() for k, v in a.attributes.items()} == {"n": 1, "l": "[1, 2]"} and a.events[0].name == "e" and (b.kind, b.status, b.duration_ns) == ("internal", "ok", 0)
+    shape = "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time long, end_time long, duration_ns long, status string, rest string"
+    rest = json.dumps({"attributes": {"k": 2}, "events": [{"name": "x", "timestamp": 3, "attributes": {}}], "instrumentation_scope": {"name": "l"}})
+    a, b = sorted(from_rest(spark.createDataFrame([("t", "1", None, "n", "server", 1, 2, 1, "ok", rest), ("t", "2", None, "n", "server", 1, 2, 1, "ok", None)], shape)).collect(), key=lambda r: r.span_id)
+    assert a.attributes["k"].toPython() == 2 and a.events[0].timestamp == 3 and a.instrumentation_scope.name == "l" and b.attributes == {} and b.events == []
+
+
+def test_codecs(spark):
+    df = spark.createDataFrame([(255, "0" * 30 + "ff", "server", "error"), (1, "xyz", "odd", None)], "n long, t string, k string, s string")
+    got = df.select(trace_hex("n"), span_hex("n"), binary_hex(pack_id("t")), kind_code("k"), status_code("s"), kind_name(kind_code("k")), status_name(status_code("s")), kind_name(F.lit(99))).collect()
+    assert [tuple(r) for r in got] == [("0" * 30 + "ff", "0" * 14 + "ff", "0" * 30 + "ff", 1, 1, "server", "error", "internal"), ("0" * 31 + "1", "0" * 15 + "1", "78797a", 0, 2, "internal", "unset", "internal")]
+    assert lookup_keys(255) == lookup_keys(bytes(15) + b"\xff") == ["0" * 30 + "ff"] and lookup_keys("a") == ["a"] == lookup_keys(b"a")
 
 
 def test_retention_and_backup(spark, store, tmp_path):
@@ -175,6 +350,7 @@ def test_http(spark, tmp_path):
     assert handle(e, "POST", post, auth, b" " * 6000)[0] == 413
     assert handle(e, "POST", post, auth, json.dumps(BODY).encode())[0] == 200
     assert handle(e, "POST", post, auth | {"content-type": "application/x-protobuf"}, request())[0] == 200
+    assert handle(e, "GET", "/api/v1/flush", auth)[0] == 200
     assert json.loads(handle(e, "GET", "/select/jaeger/api/services?token=secret", {})[1])["data"] == ["svc", "web"]
     assert json.loads(handle(e, "GET", "/select/jaeger/api/services/web/operations", auth)[1])["data"] == ["", "GET"]
     found = json.loads(handle(e, "GET", "/select/jaeger/api/traces?service=web&limit=5", auth)[1])
