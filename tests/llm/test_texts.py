@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.fmindex import FMIndex, suffix_array
 from spanloom.llm.leaks import leaked_items, plain
-from spanloom.llm.packing import best_fit_decreasing, lower_bound, pack, packed_documents, packing_summary
+from spanloom.llm import packing
+from spanloom.llm.packing import best_fit_decreasing, lower_bound, pack, packed_documents, packing_check, packing_summary, repacked
 from spanloom.llm.repeats import flagged, highly_repetitive, repeat_shares, thresholds
 from spanloom.llm.tokens import TokenCounter, _encoding, token_counts, VOCABULARY
 from spanloom.llm.words import WordCoder, piece_words
@@ -198,7 +199,41 @@ def test_pack_splits_only_large_items_and_loses_nothing(spark):
 
 def test_packed_documents(spark, data):
     got = packing_summary(packed_documents(table(spark, data, "documents"), table(spark, data, "pack_classes"))).collect()
-    assert {r.pack_class for r in got} == {"short", "standard", "long"} and all(r.fill > 0.95 or r.n_containers - r.least <= 1 for r in got)
+    assert {r.pack_class for r in got} == {"short", "standard", "long"} and all(r.bins >= r.bound and (r.fill > 0.95 or r.bins - r.bound <= 1) for r in got)
+
+
+def test_exchange_within_one_group_and_between_groups(spark):
+    """What best fit decreasing leaves above the bound is packed anew, whatever the number of groups."""
+    rnd = random.Random(5)
+    data = [(i, rnd.randint(80, 700)) for i in range(600)]
+    sizes = spark.createDataFrame(data, "doc_id long, n_tokens int")
+    classes = spark.createDataFrame([("a", 1000)], "pack_class string, capacity_tokens int")
+    for group in (10_000, 60):
+        got = pack(sizes, classes, group_items=group)
+        r = packing_check(got, sizes).first()
+        assert all(r[c] for c in ("whole", "within_capacity", "bounds_hold", "open_ones_repacked")) and r.n_docs == 600
+        before = pack(sizes, classes, group_items=group, rounds=0)
+        assert packing_summary(got).first().bins <= packing_summary(before).first().bins
+        if group == 60:
+            assert packing_summary(got).first().bins < packing_summary(before).first().bins
+
+
+def test_repacked_is_valid_and_never_worse():
+    rnd = np.random.default_rng(2)
+    for _ in range(50):
+        sizes = rnd.integers(1, 21, rnd.integers(1, 30))
+        for box in (np.arange(len(sizes)), best_fit_decreasing(sizes, 20) * 3 + 1):
+            again, bound = repacked(sizes, 20, box)
+            n = len(np.unique(again))
+            assert again.max() + 1 == n and bound <= n <= len(np.unique(box)) and np.bincount(again, weights=sizes).max() <= 20
+    assert repacked(np.array([10, 10, 10, 10]), 20, np.arange(4))[0].max() == 1
+
+
+def test_more_classes_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CLASS_BLOCK", 2)
+    classes = spark.createDataFrame([(f"c{i}", 10 + i) for i in range(5)], "pack_class string, capacity_tokens int")
+    got = packing_summary(pack(spark.createDataFrame([(1, 4), (2, 9), (3, 25)], "doc_id long, n_tokens int"), classes)).collect()
+    assert len(got) == 5 and all(r.tokens == 38 for r in got)
 
 
 # --- the whole tables ---
