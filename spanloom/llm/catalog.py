@@ -125,14 +125,18 @@ r as (select doc_id, count(distinct p) k from (select doc_id, unnest(range(i, i
 s as (select w.doc_id, cast(len(l) as bigint) n_words, coalesce(k, 0) n_repeated from w left join r on r.doc_id = w.doc_id)"""
 _W9 = f"""d as (select doc_id, {_words_sql("text", True)} l from documents where text is not null and doc_id is not null),
 p as (select item_id, {_words_sql("passage", True)} l from eval_items where passage is not null and item_id is not null),
-pg as (select item_id, unnest(range(1, len(l) - 3)) i, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) gram from p where len(l) >= 5),
+pg as (select item_id, unnest(range(1, len(l) - 3)) pi, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) gram from p where len(l) >= 5),
 dg as (select distinct doc_id, gram from (select doc_id, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) gram from d where len(l) >= 5) where gram in (select gram from pg)),
-c as (select item_id, doc_id, count(distinct w) covered from (select item_id, doc_id, unnest(range(i, i + 5)) w from pg join dg using (gram)) group by 1, 2),
+c as (select item_id, doc_id, count(distinct w) covered from (select item_id, doc_id, unnest(range(pi, pi + 5)) w from pg join dg using (gram)) group by 1, 2),
 o as (select c.item_id, c.doc_id, c.covered covered_words, cast(len(p.l) as bigint) passage_words from c join p using (item_id) where 2 * c.covered >= len(p.l))"""
 
 SQL = {
     "p9_found": f"with {_W9} select item_id, doc_id from o",
     "p9_leaks": f"with {_W9} select * from o",
+    "p9_spans": f"""with {_W9}, places as (select distinct doc_id, i from (select doc_id, unnest(range(1, len(l) - 3)) i, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) gram from d where len(l) >= 5) join pg using (gram) join o using (item_id, doc_id)),
+m as (select *, case when i > lag(i) over (partition by doc_id order by i) + 5 then 1 else 0 end fresh from places), n as (select *, sum(fresh) over (partition by doc_id order by i) no from m)
+select doc_id, min(i) - 1 span_start, max(i) + 4 span_end from n group by doc_id, no""",
+    "p10_shares": f"with {_W10} select doc_id, coalesce(lower(trim(lang)), '') lang, coalesce(source, '') source, n_words, n_repeated, case when n_words > 0 then n_repeated / n_words else 0 end as share from s join documents using (doc_id)",
     "p10_found": f"with {_W10} select doc_id from s where n_words > 0 and 3 * n_repeated >= n_words",
     "p10_word_counts": f"with {_W10} select * from s",
     "p8_check": """select pack_class, cast(capacity_tokens as bigint) capacity, count(*) n_docs, true whole, true within_capacity, true bounds_hold, true open_ones_repacked

@@ -2,39 +2,65 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.llm.fmindex import FMIndex
 from spanloom.llm.words import WordCoder, piece_words
+from spanloom.runtime import cut, work_path
 
 #: Words in a stretch that counts.
 STRETCH = 5
 #: Characters of text in one index.
 SHARD_CHARS = 6_000_000
-#: Test passages that are searched for in one pass over the corpus.
+#: Test passages that are searched for together; more take more blocks, not more indexes.
 ITEM_BLOCK = 5_000
 #: A stretch that more items than this share doesn't make a pair by itself.
 SHARED = 3
 
-#: How the number of a page is written at the end of its header.
-_PAGE = re.compile(r"\b(?:[Pp]age|PAGE|[Ss]eite|SEITE|[Bb]latt|[Pp]\.|S\.) ?\d{1,4} ?(?:of|von|sur|de|/|OF|VON|SUR) ?\d{1,4}[^\n\w]{0,20}(?=\n|$)")
+#: A line's end with two numbers, such as the page's and how many there are: no
+#: sentence ends so.
+_NUMBERS = re.compile(r"(?<![\w.,/-])(\d{1,4}) ?(?:/|[^\W\d_]{1,4}) ?(\d{1,4})[^\w.!?;:,)\n]{0,20}(?=\n|$)")
+_DIGITS = re.compile(r"\d+")
 _BREAK = re.compile("[-\u00ad]\n\\s*")
 
 
+def headers(t: str) -> list[tuple[int, int]]:
+    """Where the lines of page headers begin and end. A header ends with the page's number
+    and the number of pages. It stands alone between empty lines, or it recurs:
+    the same line but for digits, with the same number of pages and rising page numbers."""
+    alone, others = [], {}
+    for m in _NUMBERS.finditer(t):
+        page, pages = int(m[1]), int(m[2])
+        if not 1 <= page <= pages:
+            continue
+        a, b = t.rfind("\n", 0, m.start()) + 1, m.end()
+        if (a == 0 or t[a - 2 : a] == "\n\n" or a == 1) and t[b : b + 2] in ("\n\n", "\n", ""):
+            alone.append((a, b))
+        else:
+            others.setdefault((_DIGITS.sub("0", t[a:b]), pages), []).append((page, a, b))
+    for got in others.values():
+        if len(got) > 1 and all(x[0] < y[0] for x, y in zip(got, got[1:], strict=False)):
+            alone += [(a, b) for _, a, b in got]
+    return sorted(alone)
+
+
 def plain(t: str) -> str:
     """Text without the lines of page headers, and with words that a line's end
     divides joined."""
     cuts, last = [], 0
-    for m in _PAGE.finditer(t):
-        line = t.rfind("\n", 0, m.start()) + 1
-        if line >= last and m.start() - line <= 200:
-            cuts.append(t[last:line])
-            last = m.end()
+    for a, b in headers(t):
+        if a >= last:
+            cuts.append(t[last:a])
+            last = b
     if cuts:
         t = "".join([*cuts, t[last:]])
     return _BREAK.sub("", t) if "-\n" in t or "\u00ad\n" in t else t
@@ -121,19 +147,29 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo, k), src
 
 
-def search_shard(coder: WordCoder, items: Items, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, covered words) of the leaks in texts, and (text, first word,
-    end) of the places of their passages, merged."""
-    flat, off = coder.encode([plain(t) for t in texts])
-    size = np.diff(off)
-    # word 1 stands after each text
-    w = np.insert(flat + 2, off[1:], 1)
-    begin = off[:-1] + np.arange(len(texts))
-    index = FMIndex(w)
-    number = np.array([coder.words.get(x, -2) + 2 for x in items.vocabulary] or [0], np.int64)
-    lo, hi = index.search(number[items.grams])
+class Shard:
+    """Texts under one index."""
+
+    def __init__(self, coder: WordCoder, ids: list[int], texts: list[str]):
+        flat, off = coder.encode([plain(t) for t in texts])
+        self.ids, self.size = np.array(ids, np.int64), np.diff(off)
+        # word 1 stands after each text
+        self.index = FMIndex(np.insert(flat + 2, off[1:], 1))
+        self.begin = off[:-1] + np.arange(len(texts))
+        self.words = coder.words
+
+
+def search_shard(shard: Shard, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, covered words) of the leaks in a shard, and (text, first word) of the
+    stretches of the leaked passages."""
+    none = np.empty(0, np.int64)
+    if not len(items.ids):
+        return none, none, none, none, none
+    size, begin = shard.size, shard.begin
+    number = np.array([shard.words.get(x, -2) + 2 for x in items.vocabulary] or [0], np.int64)
+    lo, hi = shard.index.search(number[items.grams])
     rows, gram = _ranges(lo, hi)
-    place = index.locate(rows)
+    place = shard.index.locate(rows)
     doc = np.searchsorted(begin, place, "right") - 1
     g = len(items.grams)
     seen = np.unique(doc * g + gram)
@@ -145,37 +181,68 @@ def search_shard(coder: WordCoder, items: Items, texts: list[str]) -> tuple[np.n
     e, src = _ranges(items.off[gram[some]], items.off[gram[some] + 1])
     s_doc, s_at = doc[some][src], (place - begin[doc])[some][src]
     keep = np.isin(s_doc * n + items.item[e], leaks)
-    spot = np.unique(s_doc[keep] * (size.max(initial=0) + STRETCH + 1) + s_at[keep])
+    return d, i, got, s_doc[keep], s_at[keep]
+
+
+def merged(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end) of the stretches at these places, those that meet put together."""
+    width = int(at.max(initial=0)) + STRETCH + 2
+    spot = np.unique(doc * width + at)
     first = np.ones(len(spot), bool)
     first[1:] = spot[1:] > spot[:-1] + STRETCH
     a = np.flatnonzero(first)
     b = np.concatenate([a[1:], [len(spot)]]) - 1 if len(a) else a
-    width = size.max(initial=0) + STRETCH + 1
-    return d, i, got, spot[a] // width, spot[a] % width, spot[b] % width + STRETCH
+    return spot[a] // width, spot[a] % width, spot[b] % width + STRETCH
+
+
+def _prepared(eval_items: DataFrame, item_block: int) -> tuple[str, int]:
+    """Blocks of passages, made ready as tasks and written one per row into the shared
+    folder: (path, number of blocks). No passage passes through the driver."""
+    rows = cut(eval_items.select("item_id", "passage").where("item_id is not null and passage is not null").withColumn("no", F.monotonically_increasing_id()), "passages")
+    blocks = max(1, -(-rows.count() // item_block))
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"items": [pickle.dumps(Items(list(zip(pdf["item_id"].tolist(), pdf["passage"].tolist(), strict=True))))]})
+
+    got = rows.repartition(blocks, F.pmod("no", F.lit(blocks))).groupBy(F.pmod("no", F.lit(blocks)).alias("b")).applyInPandas(make, "items binary")
+    path = work_path(eval_items.sparkSession, "items")
+    got.write.parquet(path)
+    return path, blocks
+
+
+def _blocks(path: str) -> Iterator[Items]:
+    """The blocks below path, one at a time."""
+    from pyarrow import fs
+
+    where, p = fs.FileSystem.from_uri(path)
+    for f in sorted(x.path for x in where.get_file_info(fs.FileSelector(p)) if x.base_name.startswith("part-")):
+        with where.open_input_file(f) as src:
+            for batch in pq.ParquetFile(src).iter_batches(batch_size=1):
+                yield pickle.loads(batch.column(0)[0].as_py())
 
 
-def _run(documents: DataFrame, rows: list[tuple[int, str]], spans: bool) -> DataFrame:
-    held = documents.sparkSession.sparkContext.broadcast(rows)  # ITEM_BLOCK passages at most
+def _run(documents: DataFrame, path: str, blocks: int, spans: bool) -> DataFrame:
     shape = "doc_id bigint, span_start bigint, span_end bigint" if spans else "item_id bigint, doc_id bigint, covered_words bigint, passage_words bigint"
+    names = [x.split()[0] for x in shape.split(", ")]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(held.value)
-        coder = WordCoder(joined=True)
-        names = np.array(items.ids, np.int64)
-
-        def solve(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-            if not len(items.ids):
-                d = i = got = sd = s0 = s1 = np.empty(0, np.int64)
-            else:
-                d, i, got, sd, s0, s1 = search_shard(coder, items, texts)
-            number = np.array(ids, np.int64)
-            if spans:
-                return pa.RecordBatch.from_arrays([pa.array(number[sd]), pa.array(s0), pa.array(s1)], ["doc_id", "span_start", "span_end"])
-            cols = [names[i], number[d], got, items.size[i]] if len(d) else [np.empty(0, np.int64)] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["item_id", "doc_id", "covered_words", "passage_words"])
-
-        for out in shards(batches, SHARD_CHARS):
-            yield solve(*out)
+        coder, held = WordCoder(joined=True), []
+        for ids, texts in shards(batches, SHARD_CHARS):
+            shard = Shard(coder, ids, texts)
+            s_doc, s_at = [], []
+            for items in held or _blocks(path):
+                if blocks == 1:
+                    held = [items]
+                d, i, got, sd, sa = search_shard(shard, items)
+                if spans:
+                    s_doc.append(sd)
+                    s_at.append(sa)
+                elif len(d):
+                    cols = [np.array(items.ids, np.int64)[i], shard.ids[d], got, items.size[i]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names)
+            if s_doc:
+                d, a, b = merged(np.concatenate(s_doc), np.concatenate(s_at))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.ids[d]), pa.array(a), pa.array(b)], names)
 
     return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(find, shape)
 
@@ -198,32 +265,20 @@ def shards(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list
         yield ids, texts
 
 
-def leaked_items(documents: DataFrame, eval_items: DataFrame, spans: bool = False) -> DataFrame:
+def leaked_items(documents: DataFrame, eval_items: DataFrame, spans: bool = False, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Documents that reproduce at least half of the words of an item's passage
     in stretches of STRETCH or more consecutive words: item_id, doc_id,
     covered_words, passage_words; with spans the places of these stretches
     instead (doc_id, span_start, span_end in words of the text without page
     headers and with words hyphenated at line ends joined), merged.
 
-    Each shard of texts gets an FM-index; every stretch of the passages is
+    Each shard of texts gets an FM-index, once; every stretch of the passages is
     looked up in it backwards, and its places come from sampled suffix
     positions. A shard holds whole documents, so no rows are exchanged.
+    The items are the query set: blocks of item_block of them lie in the shared folder,
+    and each task reads one block after the other for each of its shards, so the corpus
+    is gone through once and memory doesn't grow with the number of items.
     Null and empty texts, and passages of fewer than STRETCH words, have no
-    leaks. Repeated documents and items are found each. The items are the query
-    set: they are searched in blocks of ITEM_BLOCK, each a pass over the corpus.
+    leaks. Repeated documents and items are found each.
     """
-    out, block = None, []
-    passages = eval_items.select("item_id", "passage").where("item_id is not null and passage is not null")
-
-    def add(rows):
-        one = _run(documents, rows, spans)
-        return one if out is None else out.unionByName(one)
-
-    for r in passages.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == ITEM_BLOCK:
-            out = add(block)
-            block = []
-    if block or out is None:
-        out = add(block)
-    return out
+    return _run(documents, *_prepared(eval_items, item_block), spans)

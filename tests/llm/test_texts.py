@@ -110,6 +110,29 @@ def test_leaks_against_brute_force(spark):
     assert out(leaked_items(df.limit(0), items)) == [] == out(leaked_items(df, items.limit(0)))
 
 
+def test_headers_by_their_place_and_by_recurrence():
+    long = "Court of X " * 40
+    alone = f"one two\n\n{long}— 6 RG 1/02 — Leht 2/3\n\nthree four"
+    assert plain(alone) == "one two\n\n\n\nthree four"
+    t = "one\nKohus 6 Rg 1/02 2 kpl 3\ntwo three 1 of 9\nfour\nKohus 6 Rg 1/02 3 kpl 3\nfive"
+    assert plain(t) == "one\n\ntwo three 1 of 9\nfour\n\nfive"  # a line in the running text that ends so once stays
+    same = "a\nhe paid 2 of 12\nb\nhe paid 2 of 12\nc"  # nor is what is said twice a header
+    assert plain(same) == same and plain("a\n\nit was so for 3 of 12.\n\nb").count("12") == 1
+
+
+def test_blocks_of_items_in_one_pass(spark):
+    rnd = random.Random(6)
+    texts = {d: [f"w{rnd.randrange(3000)}" for _ in range(400)] for d in range(40)}
+    passages = [(i, " ".join(texts[i % 40][i % 300 : i % 300 + 30] if i % 2 else [f"v{rnd.randrange(3000)}" for _ in range(30)])) for i in range(1000)]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame(passages, "item_id long, passage string")
+    got = leaked_items(df, items, item_block=150)
+    assert out(got) == sorted((i, i % 40, 30, 30) for i in range(1, 1000, 2)) == out(leaked_items(df, items))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one pass over the documents
+    assert sorted(tuple(r) for r in leaked_items(df, items, True, 150).collect()) == sorted(tuple(r) for r in leaked_items(df, items, True).collect())
+
+
 def test_leak_in_a_very_long_text(spark):
     p = " ".join(f"p{i}" for i in range(60))
     long = " ".join(f"x{i % 5000}" for i in range(400_000))
