@@ -8,7 +8,7 @@ from spanloom.functions.enums import norm_kind, norm_name, norm_status
 from spanloom.functions.ids import norm_id, utc_day
 from spanloom.llm import distinct, leaks, packing, quantiles, repeats
 from spanloom.llm.tokens import token_counts
-from spanloom.runtime import table
+from spanloom.runtime import cut, table
 
 QUANTILES = [0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -31,18 +31,32 @@ def p4_from_days(s, d):
     """The same percentiles from one summary per day, put together afterwards."""
     keys = ["day", "name", "kind"]
     days = quantiles.merge_summaries(quantiles.summarise(durations(s, d), keys, "duration_ns", quantiles.EPS / 2), keys, quantiles.EPS / 2)
-    return quantiles.answers(quantiles.merge_summaries(days.drop("day"), keys[1:], quantiles.EPS), keys[1:], QUANTILES)
+    return quantiles.answers(quantiles.merge_summaries(days.drop("day"), keys[1:], quantiles.EPS), keys[1:], QUANTILES, whole=True)
 
 
-def p4_rank_check(s, d):
-    """The percentiles held against the exact ranks of their values."""
-    got = p4_percentiles(s, d).select("name", "kind", "q", "value")
-    x = durations(s, d).groupBy("name", "kind", "duration_ns").agg(F.count(F.lit(1)).alias("k"))
-    v, k = F.col("duration_ns").cast("double"), F.col("k")
-    r = x.join(got, ["name", "kind"]).groupBy("name", "kind", "q").agg(F.sum("k").alias("n"), F.sum(F.when(v < F.col("value"), k).otherwise(0)).alias("below"), F.sum(F.when(v <= F.col("value"), k).otherwise(0)).alias("upto"))
-    want = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n")))
-    room = F.lit(quantiles.EPS) * F.col("n") + 1
-    return r.select("name", "kind", "q", "n", ((F.col("below") + 1 <= want + room) & (F.col("upto") >= want - room)).alias("in_bound"))
+def _ranked(got, keys):
+    """Percentiles held against the exact ranks of their values."""
+    return lambda s, d: quantiles.rank_check(durations(s, d), keys, "duration_ns", got(s, d))
+
+
+def p10_threshold_check(s, d):
+    """The quantiles that the thresholds rest on, held against the exact ranks of the
+    shares; and thresholds are what they say."""
+    keys = ["lang", "source"]
+    shares = cut(repeats.repeat_shares(table(s, d, "documents")), "shares")
+    got = quantiles.percentiles(shares, keys, "share", [0.5, repeats.QUANTILE])
+    return quantiles.rank_check(shares, keys, "share", got)
+
+
+def p10_flag_check(s, d):
+    """Each language and source: documents, and whether those flagged are exactly those at or
+    above its threshold."""
+    docs = table(s, d, "documents")
+    shares = repeats.repeat_shares(docs)
+    t = repeats.thresholds(shares)
+    want = shares.join(t.select("lang", "source", "threshold"), ["lang", "source"]).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.count(F.when((F.col("share") >= F.col("threshold")) & (F.col("share") > 0), 1)).alias("k"))
+    have = repeats.flagged(docs).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("j"))
+    return want.join(have, ["lang", "source"], "left").select("lang", "source", "n_docs", (F.col("k") == F.coalesce("j", F.lit(0))).alias("all_and_only"))
 
 
 def visits(s, d):
@@ -61,18 +75,16 @@ def p7_registers(s, d):
 
 
 def p7_bound_check(s, d):
-    """The estimates by day and by name held against exact counts: within five
+    """The estimates of all combinations held against exact counts: within five
     standard errors, or three where few registers are hit."""
-    got = p7_distinct(s, d)
-    v = visits(s, d).where("trace_id is not null")
-    out = None
-    for c in ("day", "name", "status"):
-        exact = v.groupBy(c).agg(F.countDistinct("trace_id").alias("n_exact"))
-        one = got.where(F.col("level") == c).select(c, "n_distinct", "std_error").join(exact, c)
-        ok = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(F.lit(3.0), 5 * F.col("std_error") * F.col("n_exact"))
-        one = one.select(F.lit(c).alias("level"), F.col(c).alias("grp"), "n_exact", ok.alias("in_bound"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    v = visits(s, d).where("trace_id is not null").select(F.explode(distinct.levels(DIMS)).alias("l"), "trace_id").select("l.*", "trace_id")
+    exact = v.groupBy("level", *DIMS).agg(F.countDistinct("trace_id").alias("n_exact"))
+    got = p7_distinct(s, d).select("level", *DIMS, "n_distinct", "std_error")
+    same = F.lit(True)
+    for c in ("level", *DIMS):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    ok = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(F.lit(3.0), 5 * F.col("std_error") * F.col("n_exact"))
+    return exact.alias("a").join(got.alias("b"), same, "left").select("a.level", *(f"a.{c}" for c in DIMS), "n_exact", F.coalesce(ok, F.lit(False)).alias("in_bound"))
 
 
 def p8_packed(s, d):
@@ -83,7 +95,9 @@ QUERIES = {
     "p4_day_percentiles": p4_day_percentiles,
     "p4_percentiles": p4_percentiles,
     "p4_from_days": p4_from_days,
-    "p4_rank_check": p4_rank_check,
+    "p4_rank_check": _ranked(p4_percentiles, ["name", "kind"]),
+    "p4_day_rank_check": _ranked(p4_day_percentiles, ["day", "name", "kind"]),
+    "p4_from_days_check": _ranked(p4_from_days, ["name", "kind"]),
     "p7_distinct": p7_distinct,
     "p7_registers": p7_registers,
     "p7_bound_check": p7_bound_check,
@@ -99,6 +113,8 @@ QUERIES = {
     "p10_word_counts": lambda s, d: repeats.repeat_shares(table(s, d, "documents")).select("doc_id", "n_words", "n_repeated"),
     "p10_shares": lambda s, d: repeats.repeat_shares(table(s, d, "documents")),
     "p10_flagged": lambda s, d: repeats.flagged(table(s, d, "documents")).select("doc_id", "lang", "source", "n_words", "n_repeated"),
+    "p10_threshold_check": p10_threshold_check,
+    "p10_flag_check": p10_flag_check,
     "p10_thresholds": lambda s, d: repeats.thresholds(repeats.repeat_shares(table(s, d, "documents"))),
 }
 
@@ -107,6 +123,9 @@ _KIND = "case when regexp_replace(lower(trim(kind)), '^span_kind_', '') in ('int
 _STATUS = "case when regexp_replace(lower(trim(status)), '^status_code_', '') in ('ok', 'error', 'unset') then regexp_replace(lower(trim(status)), '^status_code_', '') else 'unset' end"
 _TRACE = "nullif(lower(trim(trace_id, chr(32)||chr(9)||chr(10)||chr(13))), '')"
 
+_DAY7 = "strftime(make_timestamp(start_time // 1000), '%Y-%m-%d')"
+
+
 def _words_sql(text: str, joined: bool) -> str:
     """Words of a text in SQL; joined: without page headers and hyphens (see leaks.plain)."""
     if joined:
@@ -142,8 +161,11 @@ select doc_id, min(i) - 1 span_start, max(i) + 4 span_end from n group by doc_id
     "p8_check": """select pack_class, cast(capacity_tokens as bigint) capacity, count(*) n_docs, true whole, true within_capacity, true bounds_hold, true open_ones_repacked
 from (select distinct pack_class, capacity_tokens from pack_classes), (select doc_id from documents where doc_id is not null and length(text) > 0) group by 1, 2""",
     "p4_rank_check": f"select {_NAME} as name, {_KIND} kind, q, cast(count(*) as bigint) n, true in_bound from spans, (select unnest([0.5, 0.75, 0.9, 0.95, 0.99]::double[]) q) where duration_ns >= 0 group by 1, 2, 3",
-    "p7_bound_check": f"""with v as (select {_TRACE} t, strftime(make_timestamp(start_time // 1000), '%Y-%m-%d') d, {_NAME} n, {_STATUS} s from spans where {_TRACE} is not null)
-select 'day' "level", d grp, count(distinct t) n_exact, true in_bound from v group by 2
-union all select 'name', n, count(distinct t), true from v group by 2
-union all select 'status', s, count(distinct t), true from v group by 2""",
+    "p4_day_rank_check": f"select {_DAY7} as day, {_NAME} as name, {_KIND} kind, q, cast(count(*) as bigint) n, true in_bound from spans, (select unnest([0.5, 0.75, 0.9, 0.95, 0.99]::double[]) q) where duration_ns >= 0 group by 1, 2, 3, 4",
+    "p7_bound_check": f"""with v as (select {_TRACE} t, {_DAY7} as day, {_NAME} as name, {_STATUS} status from spans where {_TRACE} is not null)
+select concat_ws(',', case when grouping(day) = 0 then 'day' end, case when grouping(name) = 0 then 'name' end, case when grouping(status) = 0 then 'status' end) as level, day, name, status, count(distinct t) n_exact, true in_bound
+from v group by grouping sets ((day, name, status), (day, name), (day, status), (name, status), (day), (name), (status), ())""",
+    "p10_threshold_check": f"with {_W10}, x as (select coalesce(lower(trim(lang)), '') lang, coalesce(source, '') source from s join documents using (doc_id)) select lang, source, q, count(*) n, true in_bound from x, (select unnest([0.5, 0.95]::double[]) q) group by 1, 2, 3",
+    "p10_flag_check": "select coalesce(lower(trim(lang)), '') lang, coalesce(source, '') source, count(*) n_docs, true all_and_only from documents where text is not null and doc_id is not null group by 1, 2",
 }
+SQL["p4_from_days_check"] = SQL["p4_rank_check"]

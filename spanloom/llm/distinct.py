@@ -45,28 +45,33 @@ def merge_registers(*parts: DataFrame) -> DataFrame:
     return out.groupBy(*dims).agg(F.max("top").alias("top"))
 
 
-def roll_up(regs: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Registers of every combination of dims: adds `level`, the dims that are
-    kept joined by commas ('' for all rows); dims that aren't kept are null."""
+def levels(dims: Sequence[str]) -> Column:
+    """All combinations of dims as an array: level (the dims that are kept, joined by
+    commas, '' for all rows) and the dims, null where they aren't kept."""
     dims = list(dims)
     sets = [c for k in range(len(dims), -1, -1) for c in combinations(dims, k)]
-    got = regs.groupingSets([[*c, "reg"] for c in sets], *dims, "reg").agg(F.max("top").alias("top"), F.grouping_id(*dims, "reg").alias("gid"))
-    level = F.lit(None).cast("string")
-    for c in sets:
-        gid = sum(0 if d in c else 1 << (len(dims) - i) for i, d in enumerate(dims))
-        level = F.when(F.col("gid") == gid, F.lit(",".join(c))).otherwise(level)
-    return got.select(level.alias("level"), *dims, "reg", "top")
+    return F.array(*(F.struct(F.lit(",".join(c)).alias("level"), *((F.col(d) if d in c else F.nullif(F.col(d), F.col(d))).alias(d) for d in dims)) for c in sets))
+
+
+def roll_up(regs: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Registers of every combination of dims (see levels). Each register of a combination
+    comes from the same register of finer ones, so the rows are once dealt by
+    register, which no group can make uneven, and all combinations are put together where they lie."""
+    got = regs.repartition("reg").select(F.explode(levels(dims)).alias("l"), "reg", "top").select("l.*", "reg", "top")
+    return got.groupBy("level", *dims, "reg").agg(F.max("top").alias("top"))
 
 
 def estimate(regs: DataFrame, keys: Sequence[str], bits: int = BITS) -> DataFrame:
-    """keys, n_distinct, std_error (relative), registers_hit."""
-    m = 1 << bits
-    alpha = 0.7213 / (1 + 1.079 / m)
+    """keys, n_distinct, std_error (relative), registers_hit. The estimate takes what
+    the registers' values are expected to be, the empty ones' included, at any
+    number of identifiers: no range of numbers has a bias of its own."""
+    m = float(1 << bits)
     g = regs.groupBy(*keys).agg(F.sum(F.pow(F.lit(2.0), -F.col("top").cast("double"))).alias("s"), F.count(F.lit(1)).alias("hit"))
-    empty = F.lit(m) - F.col("hit")
-    raw = F.lit(alpha * m * m) / (F.col("s") + empty)
-    few = F.lit(float(m)) * F.log(F.lit(float(m)) / empty)
-    n = F.when((raw <= 2.5 * m) & (empty > 0), few).otherwise(raw)
+    x = (F.lit(m) - F.col("hit")) / m
+    empty = x
+    for k in range(1, bits + 8):  # the terms behind are below the last digit of a double
+        empty = empty + F.pow(x, F.lit(float(1 << k))) * float(1 << (k - 1))
+    n = F.lit(m * m / (2 * float(np.log(2)))) / (F.col("s") + F.lit(m) * empty)
     return g.select(*keys, F.round(n).cast("long").alias("n_distinct"), F.lit(standard_error(bits)).alias("std_error"), F.col("hit").alias("registers_hit"))
 
 

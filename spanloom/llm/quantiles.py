@@ -15,7 +15,9 @@ EPS = 0.005
 #: Summaries of one group that one step merges.
 FAN_IN = 64
 
-_TUPLE = np.dtype([("v", "<f8"), ("lo", "<i8"), ("hi", "<i8")])
+#: A value (whole numbers stay whole: no rounding above 2 ** 53) and its ranks.
+_TUPLES = {kind: np.dtype([("v", f"<{kind}8"), ("lo", "<i8"), ("hi", "<i8")]) for kind in "if"}
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 class Summary:
@@ -33,7 +35,7 @@ class Summary:
         n = len(values)
         step = max(1, int(2 * eps * n))
         at = np.unique(np.concatenate([np.arange(0, n, step), [n - 1]])) if n else np.empty(0, np.int64)
-        t = np.empty(len(at), _TUPLE)
+        t = np.empty(len(at), _TUPLES[values.dtype.kind])
         t["v"], t["lo"], t["hi"] = values[at], at + 1, at + 1
         return cls(n, t)
 
@@ -49,7 +51,7 @@ class Summary:
         tuple up to it, at most the hi of its first tuple above it, less one."""
         parts = [p for p in parts if p.n]
         if len(parts) < 2:
-            return parts[0] if parts else Summary(0, np.empty(0, _TUPLE))
+            return parts[0] if parts else Summary(0, np.empty(0, _TUPLES["f"]))
         v = np.concatenate([p.t["v"] for p in parts])
         src = np.repeat(np.arange(len(parts)), [len(p.t) for p in parts])
         idx = np.concatenate([np.arange(len(p.t)) for p in parts])
@@ -63,7 +65,7 @@ class Summary:
             nxt = np.minimum(seen, len(p.t) - 1)
             up = np.where(seen < len(p.t), p.t["hi"][nxt] - 1, p.n)
             hi += np.where(own, p.t["hi"][np.maximum(seen - 1, 0)], up)
-        t = np.empty(len(v), _TUPLE)
+        t = np.empty(len(v), _TUPLES[v.dtype.kind])
         t["v"], t["lo"], t["hi"] = v, lo, hi
         return Summary(sum(p.n for p in parts), t)
 
@@ -81,18 +83,18 @@ class Summary:
             keep.append(last)
         return Summary(self.n, t[keep])
 
-    def query(self, q: float) -> float:
+    def query(self, q: float) -> float | int:
         """The value whose rank is nearest to q n (at least 1)."""
         r = max(1, int(np.ceil(q * self.n)))
         off = np.maximum(r - self.t["lo"], self.t["hi"] - r)
-        return float(self.t["v"][int(np.argmin(off))])
+        return self.t["v"][int(np.argmin(off))].item()
 
     def pack(self) -> bytes:
-        return self.t.tobytes()
+        return self.t.dtype["v"].kind.encode() + self.t.tobytes()
 
     @classmethod
     def unpack(cls, n: int, raw: bytes) -> Summary:
-        return cls(n, np.frombuffer(raw, _TUPLE))
+        return cls(n, np.frombuffer(raw, _TUPLES[chr(raw[0])], offset=1))
 
 
 def _key_shape(df: DataFrame, keys: Sequence[str]) -> str:
@@ -143,8 +145,13 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, eps: float = EPS,
         if n:
             yield close()
 
-    v = F.col(value).cast("double")
-    return df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias(value)).mapInArrow(run, shape)
+    whole = is_whole(df, value)
+    v = F.col(value).cast("bigint" if whole else "double")
+    return df.where(v.isNotNull() if whole else v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias(value)).mapInArrow(run, shape)
+
+
+def is_whole(df: DataFrame, value: str) -> bool:
+    return dict(df.dtypes)[value] in _WHOLE
 
 
 def part() -> int:
@@ -212,10 +219,11 @@ def merge_summaries(parts: DataFrame, keys: Sequence[str], eps: float = EPS, fan
     return parts.drop("slot")
 
 
-def answers(summaries: DataFrame, keys: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
-    """keys, q, value, n, max_err: one row per group and quantile."""
+def answers(summaries: DataFrame, keys: Sequence[str], quantiles: Sequence[float], whole: bool = False) -> DataFrame:
+    """keys, q, value, n, max_err: one row per group and quantile. whole: the summaries
+    are of whole numbers, and so is value."""
     keys, quantiles = list(keys), list(quantiles)
-    shape = f"{_key_shape(summaries, keys)}, q double, value double, n bigint, max_err double"
+    shape = f"{_key_shape(summaries, keys)}, q double, value {'bigint' if whole else 'double'}, n bigint, max_err double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,7 +231,7 @@ def answers(summaries: DataFrame, keys: Sequence[str], quantiles: Sequence[float
             k = len(quantiles)
             at = pa.array(np.repeat(np.arange(b.num_rows), k))
             vals = [Summary.unpack(x, y).query(q) for x, y in zip(n, raw, strict=True) for q in quantiles]
-            cols = [*(b.column(i).take(at) for i in range(len(keys))), pa.array(np.tile(quantiles, b.num_rows).astype(float)), pa.array(vals, pa.float64()), b.column(len(keys)).take(at), b.column(len(keys) + 2).take(at)]
+            cols = [*(b.column(i).take(at) for i in range(len(keys))), pa.array(np.tile(quantiles, b.num_rows).astype(float)), pa.array(vals, pa.int64() if whole else pa.float64()), b.column(len(keys)).take(at), b.column(len(keys) + 2).take(at)]
             yield pa.RecordBatch.from_arrays(cols, [*keys, "q", "value", "n", "max_err"])
 
     return summaries.select(*keys, "n", "tuples", "max_err").mapInArrow(run, shape)
@@ -231,4 +239,19 @@ def answers(summaries: DataFrame, keys: Sequence[str], quantiles: Sequence[float
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], eps: float = EPS) -> DataFrame:
     """Percentiles per group; a value's rank is off by at most eps n (max_err tells it in ranks)."""
-    return answers(merge_summaries(summarise(df, keys, value, eps), keys, eps), keys, quantiles)
+    return answers(merge_summaries(summarise(df, keys, value, eps), keys, eps), keys, quantiles, is_whole(df, value))
+
+
+def rank_check(df: DataFrame, keys: Sequence[str], value: str, got: DataFrame, eps: float = EPS) -> DataFrame:
+    """keys, q, n, in_bound: answers held against the exact ranks of their values in df."""
+    keys = list(keys)
+    x = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    r = x.join(got.select(*keys, "q", "value"), keys).groupBy(*keys, "q").agg(
+        F.sum("k").alias("n"),
+        F.sum(F.when(F.col("v") < F.col("value"), F.col("k")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("v") <= F.col("value"), F.col("k")).otherwise(0)).alias("upto"),
+        F.max(F.col("v") == F.col("value")).alias("is_one"),
+    )
+    want = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n")))
+    room = F.lit(eps) * F.col("n") + 1
+    return r.select(*keys, "q", "n", ((F.col("below") + 1 <= want + room) & (F.col("upto") >= want - room) & F.col("is_one")).alias("in_bound"))

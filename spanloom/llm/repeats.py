@@ -113,16 +113,18 @@ def thresholds(shares: DataFrame, eps: float = 0.005) -> DataFrame:
     return got.groupBy(*keys).agg((top + SPREAD * (top - mid)).alias("threshold"), F.max("n").alias("n"))
 
 
-def flagged(documents: DataFrame, eps: float = 0.005) -> DataFrame:
+def flagged(documents: DataFrame, eps: float = 0.005, most: float | None = None) -> DataFrame:
     """Documents whose share lies above the threshold of their language and
-    source, with the threshold. A group whose threshold exceeds HIGH is
-    held to HIGH, so that a group full of spam can't hide it."""
+    source, with the threshold. most: a group whose threshold exceeds it is held to
+    it, so that a group full of spam can't hide it."""
     shares = cut(repeat_shares(documents), "shares")
-    t = thresholds(shares, eps).withColumn("threshold", F.least("threshold", F.lit(HIGH)))
+    t = thresholds(shares, eps)
+    if most is not None:
+        t = t.withColumn("threshold", F.least("threshold", F.lit(most)))
     return shares.join(t.drop("n"), ["lang", "source"]).where("share >= threshold and share > 0")
 
 
 def highly_repetitive(documents: DataFrame) -> DataFrame:
     """Documents of which at least a third of the words is repeated: those the
     adaptive thresholds (at most a third) flag, held against the third exactly."""
-    return flagged(documents).where("3 * n_repeated >= n_words").select("doc_id")
+    return flagged(documents, most=HIGH).where("3 * n_repeated >= n_words").select("doc_id")

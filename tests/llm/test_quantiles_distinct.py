@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm.distinct import distinct_counts, estimate, merge_registers, registers, roll_up, standard_error
-from spanloom.llm.quantiles import Summary, answers, merge_summaries, percentiles, summarise
+from spanloom.llm.quantiles import Summary, answers, merge_summaries, percentiles, rank_check, summarise
 
 
 def off(values, v, q):
@@ -84,3 +84,25 @@ def test_distinct_counts_and_merging(spark):
 def test_few_identifiers_are_counted_almost_exactly(spark):
     df = spark.createDataFrame([("g", str(i % 10)) for i in range(100)], "g string, top string")
     assert distinct_counts(df, ["g"], "top").where("level = 'g'").first().n_distinct == 10
+
+
+def test_whole_numbers_stay_whole(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big + k,) for k in range(9)] + [(None,)], "v long")
+    got = {r.q: r.value for r in percentiles(df.selectExpr("'g' g", "v"), ["g"], "v", [0.5, 1.0]).collect()}
+    assert got == {0.5: big + 4, 1.0: big + 8}
+
+
+def test_no_range_has_a_bias(spark):
+    """Means over many sets lie well within one standard error, also where few and many registers are hit."""
+    for n, sets in ((300, 40), (10_000, 40), (40_000, 12)):
+        df = spark.range(n * sets).select((F.col("id") % sets).cast("string").alias("g"), F.col("id").cast("string").alias("x"))
+        got = distinct_counts(df, ["g"], "x").where("level = 'g'").agg(F.avg("n_distinct")).first()[0]
+        assert abs(got / n - 1) < 0.3 * standard_error() + 3 * standard_error() / sets**0.5 * (n > 1000), (n, got)
+
+
+def test_rank_check_tells_wrong_answers(spark):
+    df = spark.range(1000).selectExpr("'g' g", "id v")
+    good = spark.createDataFrame([("g", 0.5, 500)], "g string, q double, value long")
+    bad = spark.createDataFrame([("g", 0.5, 560)], "g string, q double, value long")
+    assert [rank_check(df, ["g"], "v", x).first().in_bound for x in (good, bad)] == [True, False]
