@@ -11,7 +11,7 @@ from spanloom.llm.fmindex import FMIndex, suffix_array
 from spanloom.llm.leaks import leaked_items, plain
 from spanloom.llm import packing
 from spanloom.llm.packing import best_fit_decreasing, lower_bound, pack, packed_documents, packing_check, packing_summary, repacked
-from spanloom.llm.repeats import flagged, highly_repetitive, repeat_shares, thresholds
+from spanloom.llm.repeats import HIGH, flagged, highly_repetitive, repeat_shares, thresholds
 from spanloom.llm.tokens import TokenCounter, _encoding, token_counts, VOCABULARY
 from spanloom.llm.words import WordCoder, piece_words
 from spanloom.runtime import table
@@ -166,7 +166,9 @@ def test_repetition_against_brute_force(spark):
     assert {r.doc_id: (r.n_words, r.n_repeated) for r in repeat_shares(df).collect()} == want
     assert out(highly_repetitive(df)) == sorted((d,) for d, (n, k) in want.items() if n and 3 * k >= n)
     t = {(r.lang, r.source): r.threshold for r in thresholds(repeat_shares(df)).collect()}
-    assert {r.doc_id for r in flagged(df).collect()} >= {d for d, (n, k) in want.items() if n and 3 * k >= n} and set(t) <= {(a, b) for a in ("en", "") for b in ("x", "")}
+    assert {r.doc_id for r in flagged(df, most=HIGH).collect()} >= {d for d, (n, k) in want.items() if n and 3 * k >= n}
+    assert {r.doc_id for r in flagged(df).collect()} == {r.doc_id for r in repeat_shares(df).collect() if r.share > 0 and r.share >= t[r.lang, r.source]}
+    assert set(t) <= {(a, b) for a in ("en", "") for b in ("x", "")}
     assert out(highly_repetitive(df.limit(0))) == []
 
 
