@@ -13,6 +13,8 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 OBJECT, ARRAY, STRING, OTHER = 1, 2, 3, 4
 
@@ -21,7 +23,10 @@ _SPACE[[9, 10, 13, 32]] = True
 _MARK = np.zeros(256, bool)
 _MARK[np.frombuffer(b"{}[]:,", np.uint8)] = True
 _NUMBER = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
-_ESCAPE = re.compile(rb'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})')
+_WORDS = {b"true", b"false", b"null"}
+_AFTER, _HEX = np.zeros(256, bool), np.zeros(256, bool)
+_AFTER[np.frombuffer(b'"\\/bfnrtu', np.uint8)] = True
+_HEX[np.frombuffer(b"0123456789abcdefABCDEF", np.uint8)] = True
 
 
 @dataclass
@@ -41,6 +46,35 @@ class Nodes:
     valid: np.ndarray  # by text
 
 
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
+    """The bytes from each start to its end, gathered at once."""
+    length = end - start
+    off = np.concatenate([[0], np.cumsum(length)])
+    at = np.repeat(start - off[:-1], length) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
+class Strings:
+    """Contents of JSON strings and scalars as Arrow arrays. Only those with a
+    backslash, and bytes that are no UTF-8, are looked at one by one."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self._slashes = np.concatenate([[0], np.cumsum(data == 92)])
+
+    def take(self, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+        raw = slices(self.data, start, end)
+        odd = self._slashes[end] > self._slashes[start]
+        try:
+            got = raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array(map(unescape, raw.to_pylist()), pa.string())
+        if odd.any():
+            some = pa.array(map(unescape, raw.filter(pa.array(odd)).to_pylist()), pa.string())
+            got = pc.replace_with_mask(got, pa.array(odd), some)
+        return got
+
+
 def _inside_escape(b: np.ndarray) -> np.ndarray:
     """True for bytes that an odd run of backslashes ends before."""
     slash = b == 92
@@ -165,23 +199,20 @@ def index(texts: list[bytes | None]) -> Nodes:
     ok = np.where(kind == 0, p_value & ~prev_key, ok)
     valid[text[~ok]] = False
 
-    # scalars and escapes, each spelling looked at once
-    whole = data.tobytes()
+    # scalars, each spelling looked at once, and escapes
     ks = np.flatnonzero(kind == 48)
-    seen: dict[bytes, bool] = {b"true": True, b"false": True, b"null": True}
-    for i in ks:
-        w = whole[at[i] : stop[i]]
-        good = seen.get(w)
-        if good is None:
-            good = _NUMBER.fullmatch(w) is not None
-            if len(seen) < 100_000:
-                seen[w] = good
-        if not good:
-            valid[text[i]] = False
+    if len(ks):
+        spelt = slices(data, at[ks], stop[ks]).dictionary_encode()
+        good = np.fromiter((w in _WORDS or _NUMBER.fullmatch(w) is not None for w in spelt.dictionary.to_pylist()), bool)
+        valid[text[ks[~good[spelt.indices.to_numpy()]]]] = False
     esc = np.flatnonzero((data == 92) & ~escaped & inside)
-    for i in esc:
-        if not _ESCAPE.match(whole, i):
-            valid[np.searchsorted(ends, i)] = False
+    if len(esc):
+        ahead = np.concatenate([data, np.zeros(6, np.uint8)])
+        fine = _AFTER[ahead[esc + 1]]
+        u = np.flatnonzero(ahead[esc + 1] == 117)
+        for k in range(2, 6):
+            fine[u] &= _HEX[ahead[esc[u] + k]]
+        valid[np.searchsorted(ends, esc[~fine])] = False
     outside = np.flatnonzero((data == 92) & ~inside)
     if len(outside):
         valid[np.searchsorted(ends, outside)] = False

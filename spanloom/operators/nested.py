@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import norm_id, norm_parent
-from spanloom.functions.jsonindex import ARRAY, OBJECT, OTHER, STRING, Nodes, index, unescape
+from spanloom.functions.jsonindex import ARRAY, OBJECT, OTHER, STRING, Nodes, Strings, index, slices, unescape
 
 #: Bytes of text that are indexed at once; a longer text is indexed alone.
 INDEX_BYTES = 2_000_000
@@ -22,6 +23,7 @@ MEMBERS = ["resource_spans", "resource", "scope_spans", "scope", "spans", "event
 OLDER = {"instrumentation_library_spans": "scope_spans", "instrumentation_library": "scope"}
 SCALARS = {"string_value": "string", "int_value": "int", "double_value": "double", "bool_value": "bool", "bytes_value": "bytes"}
 
+_KINDS = pa.array(["string", "bool", "double", "int"])
 _CODE = {m: i for i, m in enumerate(MEMBERS)}
 _UPPER = re.compile("(?<=[a-z0-9])([A-Z])")
 NUMBERS = ["rs_no", "ss_no", "span_no", "event_no"]
@@ -31,25 +33,33 @@ def snake(name: str) -> str:
     return _UPPER.sub(lambda m: "_" + m[1].lower(), name)
 
 
+def _cat(parts: list[pa.Array]) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def _below(path: pa.Array, key: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(path, key, "/")
+
+
 class _Doc:
     """Nodes of several texts with codes of their keys; owners found level by level."""
 
     def __init__(self, nodes: Nodes):
         self.n = nodes
-        self.whole = nodes.data.tobytes()
-        cache: dict[bytes, tuple[int, str]] = {}
+        self.strings = Strings(nodes.data)
         k = len(nodes.text)
-        self.code = np.full(k, -1)
-        self.keys: list[str | None] = [None] * k
-        for i in np.flatnonzero(nodes.key_start >= 0).tolist():
-            raw = self.whole[nodes.key_start[i] : nodes.key_end[i]]
-            got = cache.get(raw)
-            if got is None:
-                s = unescape(raw)
-                w = snake(s)
-                got = cache[raw] = (_CODE.get(OLDER.get(w, w), -1), s)
-            self.code[i], self.keys[i] = got
+        has = np.flatnonzero(nodes.key_start >= 0)
+        spelt = slices(nodes.data, nodes.key_start[has], nodes.key_end[has]).dictionary_encode()
+        # each spelling of a key is looked at once
+        names = [unescape(x) for x in spelt.dictionary.to_pylist()]
+        self.snakes = [snake(x) for x in names]
+        self.names = pa.array(names, pa.string())
+        codes = np.array([_CODE.get(OLDER.get(w, w), -1) for w in self.snakes] or [-1])
+        self.key, self.code = np.full(k, -1), np.full(k, -1)
+        self.key[has] = spelt.indices.to_numpy()
+        self.code[has] = codes[self.key[has]]
         self.null = (nodes.kind == OTHER) & (nodes.data[nodes.start] == 110)
+        self._fraction = np.concatenate([[0], np.cumsum(np.isin(nodes.data, np.frombuffer(b".eE", np.uint8)))])
         # children of a node, as slices of one order
         self.order = np.argsort(nodes.parent, kind="stable")
         self.sorted_parent = nodes.parent[self.order]
@@ -79,8 +89,21 @@ class _Doc:
             el, so, no = el[keep], so[keep], no[keep]
         return el, so, no
 
-    def str(self, i: int) -> str:
-        return unescape(self.whole[self.n.start[i] : self.n.end[i]])
+    def texts(self, nodes: np.ndarray) -> pa.Array:
+        return self.strings.take(self.n.start[nodes], self.n.end[nodes])
+
+    def steps(self, nodes: np.ndarray) -> pa.Array:
+        """Key of each node, in arrays its position."""
+        key = self.key[nodes]
+        named = self.names.take(pa.array(key, mask=key < 0))
+        return pc.coalesce(named, pa.array(self.n.pos[nodes]).cast(pa.string()))
+
+    def scalar_kinds(self, nodes: np.ndarray) -> pa.Array:
+        n = self.n
+        start, end = n.start[nodes], n.end[nodes]
+        first = n.data[np.minimum(start, len(n.data) - 1)] if len(n.data) else start
+        kind = np.select([n.kind[nodes] == STRING, (first == 116) | (first == 102), self._fraction[end] > self._fraction[start]], [0, 1, 2], 3)
+        return _KINDS.take(pa.array(kind))
 
     def owners(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """By kind of owner: nodes, and their text and four numbers."""
@@ -105,7 +128,7 @@ class _Doc:
         ev = below(*sp, "events", 4)
         return {"resource": single(*rs, "resource"), "scope": single(*ss, "scope"), "span": sp, "event": ev}
 
-    def entries(self, c: np.ndarray, src: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def entries(self, c: np.ndarray, src: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Values of key/value entries: (value node, source, key)"""
         el, so, _ = self.items(c, src)
         ks, a = self.member(el, "key")
@@ -115,9 +138,16 @@ class _Doc:
         v, b = self.member(el, "value")
         keep = (key_of[b] >= 0) & ~self.null[v]
         v, b = v[keep], b[keep]
-        return v, so[b], [self.str(i) for i in key_of[b].tolist()]
+        return v, so[b], self.texts(key_of[b])
 
-    def attributes(self, nodes: np.ndarray) -> tuple[list[int], list[str], list[str], list[str]]:
+    def boxed(self, typed: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """What the values of list-like typed values hold, given as such or in `values`."""
+        box, a = self.member(typed, name)
+        is_obj, direct = self.n.kind[box] == OBJECT, self.n.kind[box] == ARRAY
+        values, b = self.member(box[is_obj], "values")
+        return np.concatenate([values, box[direct]]), np.concatenate([a[is_obj][b], a[direct]])
+
+    def attributes(self, nodes: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
         """Scalar attribute values of the owners: (position in nodes, path, value, type)"""
         n = self.n
         c, src = self.member(nodes, "attributes")
@@ -133,77 +163,66 @@ class _Doc:
         lists = (n.kind[c] == ARRAY) | ((n.kind[c] == OBJECT) & ~obj)
         typed, t_src, t_path = self.entries(c[lists], src[lists])
         plain, p = self.children(c[obj])
-        p_src, p_path = src[obj][p], [self.keys[i] for i in plain.tolist()]
+        p_src, p_path = src[obj][p], self.steps(plain)
         out: tuple[list, list, list, list] = ([], [], [], [])
 
-        def emit(v: np.ndarray, so: np.ndarray, path: list[str], kinds: list[str]) -> None:
-            out[0].extend(so.tolist())
-            out[1].extend(path)
-            out[2].extend(self.str(i) for i in v.tolist())
-            out[3].extend(kinds)
+        def emit(v: np.ndarray, so: np.ndarray, path: pa.Array, kinds: pa.Array) -> None:
+            if len(v):
+                for o, x in zip(out, (so, path, self.texts(v), kinds), strict=True):
+                    o.append(x)
 
         while len(typed) or len(plain):
             # what isn't an object in place of a typed value is taken as it is
             as_is = n.kind[typed] != OBJECT
             if as_is.any():
                 w = np.flatnonzero(as_is)
-                plain, p_src, p_path = np.concatenate([plain, typed[w]]), np.concatenate([p_src, t_src[w]]), p_path + [t_path[i] for i in w.tolist()]
+                plain, p_src, p_path = np.concatenate([plain, typed[w]]), np.concatenate([p_src, t_src[w]]), _cat([p_path, t_path.take(pa.array(w))])
                 w = np.flatnonzero(~as_is)
-                typed, t_src, t_path = typed[w], t_src[w], [t_path[i] for i in w.tolist()]
+                typed, t_src, t_path = typed[w], t_src[w], t_path.take(pa.array(w))
             for name, kind in SCALARS.items():
                 v, a = self.member(typed, name)
                 ok = (n.kind[v] >= STRING) & ~self.null[v]
                 v, a = v[ok], a[ok]
-                emit(v, t_src[a], [t_path[i] for i in a.tolist()], [kind] * len(v))
-            nt, ns, npth = [], [], []
-            kv, a = self.member(typed, "kvlist_value")
-            values, b = self.member(kv[n.kind[kv] == OBJECT], "values")
-            a2 = a[n.kind[kv] == OBJECT][b]
-            direct = n.kind[kv] == ARRAY
-            v, s, keys = self.entries(np.concatenate([values, kv[direct]]), np.concatenate([a2, a[direct]]))
-            nt.append(v)
-            ns.append(t_src[s])
-            npth += [f"{t_path[i]}/{k}" for i, k in zip(s.tolist(), keys, strict=True)]
-            av, a = self.member(typed, "array_value")
-            values, b = self.member(av[n.kind[av] == OBJECT], "values")
-            a2 = a[n.kind[av] == OBJECT][b]
-            direct = n.kind[av] == ARRAY
-            el, s, no = self.items(np.concatenate([values, av[direct]]), np.concatenate([a2, a[direct]]), objects=False)
+                emit(v, t_src[a], t_path.take(pa.array(a)), pa.repeat(kind, len(v)))
+            kv, s, keys = self.entries(*self.boxed(typed, "kvlist_value"))
+            el, e, no = self.items(*self.boxed(typed, "array_value"), objects=False)
             keep = ~self.null[el]
-            el, s, no = el[keep], s[keep], no[keep]
-            nt.append(el)
-            ns.append(t_src[s])
-            npth += [f"{t_path[i]}/{k}" for i, k in zip(s.tolist(), no.tolist(), strict=True)]
+            el, e, no = el[keep], e[keep], no[keep]
+            deeper = _cat([_below(t_path.take(pa.array(s)), keys), _below(t_path.take(pa.array(e)), pa.array(no).cast(pa.string()))])
             # plain values
-            ok = (n.kind[plain] >= STRING) & ~self.null[plain]
-            w = np.flatnonzero(ok)
-            kinds = ["string" if n.kind[i] == STRING else "bool" if n.data[n.start[i]] in (116, 102) else "double" if any(x in self.whole[n.start[i] : n.end[i]] for x in b".eE") else "int" for i in plain[w].tolist()]
-            emit(plain[w], p_src[w], [p_path[i] for i in w.tolist()], kinds)
+            w = np.flatnonzero((n.kind[plain] >= STRING) & ~self.null[plain])
+            emit(plain[w], p_src[w], p_path.take(pa.array(w)), self.scalar_kinds(plain[w]))
             box = np.flatnonzero(n.kind[plain] <= ARRAY)
-            ch, s = self.children(plain[box])
-            s = box[s]
-            p_path = [f"{p_path[j]}/{self.keys[i] if self.keys[i] is not None else n.pos[i]}" for i, j in zip(ch.tolist(), s.tolist(), strict=True)]
-            plain, p_src = ch, p_src[s]
-            typed, t_src, t_path = np.concatenate(nt), np.concatenate(ns), npth
-        return out
-
-    def fields(self, nodes: np.ndarray, names: list[str]) -> list[list[str | None]]:
-        """Scalar members of the owners by their snake_case names; a dot steps into an object."""
-        cols: list[list[str | None]] = [[None] * len(nodes) for _ in names]
-        want = {x: i for i, x in enumerate(names)}
+            ch, q = self.children(plain[box])
+            q = box[q]
+            p_path, p_src, plain = _below(p_path.take(pa.array(q)), self.steps(ch)), p_src[q], ch
+            typed, t_src, t_path = np.concatenate([kv, el]), np.concatenate([t_src[s], t_src[e]]), deeper
+        return np.concatenate(out[0]) if out[0] else np.empty(0, np.int64), *map(_cat, out[1:])
+
+    def fields(self, nodes: np.ndarray, names: list[str]) -> list[pa.Array]:
+        """Scalar members of the owners by their snake_case names (of repeated ones the
+        last); a dot steps into an object."""
         ch, src = self.children(nodes)
-        for i, s in zip(ch.tolist(), src.tolist(), strict=True):
-            k = snake(self.keys[i])
-            if self.n.kind[i] >= STRING:
-                if k in want and not self.null[i]:
-                    cols[want[k]][s] = self.str(i)
-            elif self.n.kind[i] == OBJECT and any(x.startswith(k + ".") for x in names):
-                for j in self.children(np.array([i]))[0].tolist():
-                    q = f"{k}.{snake(self.keys[j])}"
-                    if q in want and self.n.kind[j] >= STRING and not self.null[j]:
-                        cols[want[q]][s] = self.str(j)
+        cols = []
+        for name in names:
+            c, s, *path = ch, src, *name.split(".")
+            for k, part in enumerate(path):
+                if k:
+                    c, up = self.children(c)
+                    s = s[up]
+                hit = self._called(c, part) & (self.n.kind[c] == OBJECT if k < len(path) - 1 else (self.n.kind[c] >= STRING) & ~self.null[c])
+                c, s = c[hit], s[hit]
+            pick = np.full(len(nodes), -1)
+            pick[s] = c
+            got = np.flatnonzero(pick >= 0)
+            place = np.full(len(nodes), -1)
+            place[got] = np.arange(len(got))
+            cols.append(self.texts(pick[got]).take(pa.array(place, mask=place < 0)))
         return cols
 
+    def _called(self, nodes: np.ndarray, name: str) -> np.ndarray:
+        return np.isin(self.key[nodes], [i for i, w in enumerate(self.snakes) if w == name])
+
 
 def _slices(ids: pa.Array, body: pa.Array) -> Iterator[tuple[list, list[bytes | None]]]:
     got_i: list = []
@@ -261,12 +280,12 @@ def payload_table(payloads: DataFrame, table: str, id_col: str = "payload_id", b
                 if table == "attributes":
                     for owner, (nodes, nums) in owners.items():
                         src, path, value, kind = doc.attributes(nodes)
-                        got = nums[np.array(src, np.int64)]
-                        cols = [pa.array(number[got[:, 0]]), pa.array([owner] * len(src), pa.string()), *(pa.array(got[:, i]) for i in range(1, 5)), pa.array(path, pa.string()), pa.array(value, pa.string()), pa.array(kind, pa.string())]
+                        got = nums[src]
+                        cols = [pa.array(number[got[:, 0]]), pa.repeat(owner, len(src)), *(pa.array(got[:, i]) for i in range(1, 5)), path, value, kind]
                         yield pa.RecordBatch.from_arrays(cols, ["payload_id", "owner", *NUMBERS, "attr_path", "attr_value", "attr_type"])
                 else:
                     nodes, nums = owners[_OWNER[table]]
-                    cols = [pa.array(number[nums[:, 0]]), *(pa.array(nums[:, i]) for i in range(1, 5)), *(pa.array(x, pa.string()) for x in doc.fields(nodes, names))]
+                    cols = [pa.array(number[nums[:, 0]]), *(pa.array(nums[:, i]) for i in range(1, 5)), *doc.fields(nodes, names)]
                     yield pa.RecordBatch.from_arrays(cols, ["payload_id", *NUMBERS, *(x.replace(".", "_") for x in names)])
 
     return payloads.select(F.col(id_col).cast("long").alias("payload_id"), F.col(body_col).alias("body")).where("payload_id is not null").mapInArrow(run, shape)
@@ -308,42 +327,46 @@ _BOX = r"^[ \t\r\n]*[\[{]"
 _VALUE_COLS = ["recv_no", "trace_id", "span_id", "owner", "event_no", "attr_key"]
 
 
-def _leaves(n: Nodes, keys: list[str]) -> Iterator[tuple[int, str, str | None, str | None]]:
+def _leaves(doc: _Doc, keys: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
     """(number of the text, path, value, type) of all scalars, nulls and empty
-    containers of the valid texts; the path begins with the text's key."""
-    whole = n.data.tobytes()
-    full = np.zeros(len(n.text), bool)
-    full[n.parent[n.parent >= 0]] = True
-    paths: list[str] = []
-    cols = (n.text, n.parent, n.kind, n.start, n.end, n.key_start, n.key_end, n.pos, full)
-    for t, p, kind, a, b, ka, kb, no, has in zip(*(x.tolist() for x in cols), strict=True):
-        path = keys[t] if p < 0 else f"{paths[p]}/{unescape(whole[ka:kb]) if ka >= 0 else no}"
-        paths.append(path)
-        if has:
-            continue
-        raw = whole[a:b]
-        if kind == STRING:
-            yield t, path, unescape(raw), "string"
-        elif kind == OBJECT:
-            yield t, path, "{}", "object"
-        elif kind == ARRAY:
-            yield t, path, "[]", "array"
-        elif raw == b"null":
-            yield t, path, None, None
-        else:
-            yield t, path, raw.decode(), "bool" if raw in (b"true", b"false") else "double" if any(x in raw for x in b".eE") else "int"
+    containers of the valid texts; the path begins with the text's key. Level by level."""
+    n = doc.n
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    nodes = np.flatnonzero(n.parent < 0)
+    path = keys.take(pa.array(n.text[nodes]))
+    while len(nodes):
+        ch, up = doc.children(nodes)
+        box = n.kind[nodes] <= ARRAY
+        full = np.zeros(len(nodes), bool)
+        full[up] = True
+        for w, value, kind in (
+            (~box & ~doc.null[nodes], None, None),
+            (~box & doc.null[nodes], pa.scalar(None, pa.string()), pa.scalar(None, pa.string())),
+            (box & ~full & (n.kind[nodes] == OBJECT), "{}", "object"),
+            (box & ~full & (n.kind[nodes] == ARRAY), "[]", "array"),
+        ):
+            at = np.flatnonzero(w)
+            if len(at):
+                some = nodes[at]
+                out[0].append(n.text[some])
+                out[1].append(path.take(pa.array(at)))
+                out[2].append(doc.texts(some) if value is None else pa.repeat(value, len(at)))
+                out[3].append(doc.scalar_kinds(some) if kind is None else pa.repeat(kind, len(at)))
+        path = _below(path.take(pa.array(up)), doc.steps(ch))
+        nodes = ch
+    return np.concatenate(out[0]) if out[0] else np.empty(0, np.int64), *map(_cat, out[1:])
 
 
 def _json_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column("attr_key").to_pylist()
         for at, texts in _slices(pa.array(range(batch.num_rows)), batch.column("attr_value")):
+            part = batch.slice(at[0], len(at))
             nodes = index(texts)
-            got = [(at[t], *x) for t, *x in _leaves(nodes, [keys[i] for i in at])]
-            got += [(at[t], keys[at[t]], texts[t].decode("utf-8", "replace"), "string") for t in np.flatnonzero(~nodes.valid).tolist()]
-            src, *new = zip(*got, strict=True)
-            cols = [batch.column(c).take(pa.array(src)) for c in _VALUE_COLS]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.string()) for x in new)], [*_VALUE_COLS, "attr_path", "attr_value", "attr_type"])
+            src, *new = _leaves(_Doc(nodes), part.column("attr_key"))
+            no = np.flatnonzero(~nodes.valid)
+            rest = [part.column("attr_key").take(pa.array(no)), part.column("attr_value").take(pa.array(no)), pa.repeat("string", len(no))]
+            cols = [part.column(c).take(pa.array(np.concatenate([src, no]))) for c in _VALUE_COLS]
+            yield pa.RecordBatch.from_arrays([*cols, *(_cat([x, y]) for x, y in zip(new, rest, strict=True))], [*_VALUE_COLS, "attr_path", "attr_value", "attr_type"])
 
 
 def span_values(spans: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ _KIDS = f"""case when typed and json_type(v) = 'OBJECT' then list_concat(
 _ARR = _list("coalesce(v->'$.arrayValue'->'$.values', v->'$.array_value'->'$.values')")
 _NUMS = "payload_id, owner, rs_no, ss_no, span_no, event_no"
 _SCALAR = " or ".join(f"json_type(v->'$.{n}') not in ('NULL', 'OBJECT', 'ARRAY')" for s in ("string", "int", "double", "bool", "bytes") for n in (f"{s}Value", f"{s}_value"))
-P2_FOUND = f"""with recursive {_LEVELS},
+_WALK = f"""with recursive {_LEVELS},
 o as (select payload_id, 'resource' as owner, rs_no, -1::bigint ss_no, -1::bigint span_no, -1::bigint event_no, x->'$.attributes' a from re
   union all select payload_id, 'scope', rs_no, ss_no, -1, -1, x->'$.attributes' from sc
   union all select payload_id, 'span', rs_no, ss_no, span_no, -1, x->'$.attributes' from sp
@@ -43,10 +43,17 @@ o as (select payload_id, 'resource' as owner, rs_no, -1::bigint ss_no, -1::bigin
 n({_NUMS}, path, v, typed) as (
   select {_NUMS}, e->>'$.key', e->'$.value', true from (select {_NUMS}, unnest(cast(a as json[])) e from o where json_type(a) = 'ARRAY') where json_type(e->'$.key') = 'VARCHAR' and json_type(e->'$.value') <> 'NULL'
   union all select {_NUMS}, k, json_extract(a, '$."' || k || '"'), false from (select {_NUMS}, a, unnest(json_keys(a)) k from o where json_type(a) = 'OBJECT')
-  union all select {_NUMS}, u.p, u.v, u.t from (select {_NUMS}, unnest({_KIDS}) u from (select *, {_ARR} a from n)))
+  union all select {_NUMS}, u.p, u.v, u.t from (select {_NUMS}, unnest({_KIDS}) u from (select *, {_ARR} a from n)))"""
+P2_FOUND = f"""{_WALK}
 select distinct {_NUMS}, path attr_path from n
 where case when typed and json_type(v) = 'OBJECT' then {_SCALAR} else json_type(v) not in ('NULL', 'OBJECT', 'ARRAY') end"""
 
+_TYPED = ", ".join(f"""{{'k': '{s}', 'v': coalesce({", ".join(f"case when json_type(v->'$.{n}') not in ('NULL', 'OBJECT', 'ARRAY') then v->>'$.{n}' end" for n in (f"{s}Value", f"{s}_value"))})}}""" for s in ("string", "int", "double", "bool", "bytes"))
+P2_VALUES = f"""{_WALK}
+select {_NUMS}, path attr_path, u.v attr_value, u.k attr_type from (select {_NUMS}, path, unnest([{_TYPED}]) u from n where typed and json_type(v) = 'OBJECT') where u.v is not null
+union all select {_NUMS}, path, v->>'$', case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'bool' when 'DOUBLE' then 'double' else 'int' end
+from n where not (typed and json_type(v) = 'OBJECT') and json_type(v) not in ('NULL', 'OBJECT', 'ARRAY')"""
+
 
 def _text(*names: str) -> str:
     one = [f"case when json_type(x->'$.{n}') not in ('NULL', 'OBJECT', 'ARRAY') then x->>'$.{n}' end" for n in names]
@@ -62,6 +69,7 @@ P2_EVENTS = f"with {_LEVELS} select payload_id, rs_no, ss_no, span_no, event_no,
 
 SQL = {
     "p2_found": P2_FOUND,
+    "p2_payload_values": P2_VALUES,
     "p2_payload_spans": P2_SPANS,
     "p2_payload_resources": P2_RESOURCES,
     "p2_payload_scopes": P2_SCOPES,
