@@ -12,7 +12,10 @@ from spanloom.runtime import cut
 
 #: A key with at least this share of all references is heavy; so there are at
 #: most 1 / HEAVY_SHARE heavy keys, which bounds what is broadcast.
-HEAVY_SHARE = 0.001
+HEAVY_SHARE = 0.0001
+#: References of one key that one task may get; keys that are not heavy but have
+#: more are dealt to several tasks.
+TASK_ROWS = 1_000_000
 BASE = "/srv/spanstore/"
 
 
@@ -23,12 +26,13 @@ def _equal(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return cond
 
 
-def orphan_keys(refs: DataFrame, key: Sequence[str], period: str, targets: DataFrame, heavy_share: float = HEAVY_SHARE) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def orphan_keys(refs: DataFrame, key: Sequence[str], period: str, targets: DataFrame, heavy_share: float = HEAVY_SHARE) -> tuple[DataFrame, DataFrame | None, DataFrame, int]:
     """Keys that refs name and targets lack.
 
     refs: one row per reference; key: its target's columns, called the same in
     targets. Returns (per key and period: n references without a target; the
-    heavy missing keys, or None if no key is heavy; the other missing keys).
+    heavy missing keys, or None if no key is heavy; the other missing keys; how many
+    references a key that isn't heavy has at most).
 
     References are first counted per key and period, so that whatever a key's
     share of the references, it reaches the join as one row per period. Keys
@@ -57,19 +61,27 @@ def orphan_keys(refs: DataFrame, key: Sequence[str], period: str, targets: DataF
         hot_missing = counted.sparkSession.createDataFrame(hot_missing.collect(), heavy.schema)
         rest = counted.join(hot, key, "left_anti").join(targets, key, "left_anti")
         lost = rest.unionByName(counted.join(F.broadcast(hot_missing), key, "left_semi"))
-        return lost, hot_missing, rest.select(*key).distinct()
+        return lost, hot_missing, rest.select(*key).distinct(), int(floor)
     rest = counted.join(targets, key, "left_anti")
-    return rest, None, rest.select(*key).distinct()
+    return rest, None, rest.select(*key).distinct(), int(floor)
 
 
-def orphan_references(refs: DataFrame, key: Sequence[str], period: str, targets: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+def orphan_references(refs: DataFrame, key: Sequence[str], period: str, targets: DataFrame, heavy_share: float = HEAVY_SHARE, task_rows: int = TASK_ROWS) -> DataFrame:
     """The rows of refs whose key is missing in targets (see orphan_keys). Rows
-    of a heavy missing key are found by a broadcast of the bounded heavy keys,
-    so no task receives all references of one key."""
+    of a heavy missing key are found by a broadcast of the bounded heavy keys;
+    rows of other missing keys by a shuffled semi join, in which a key of over
+    task_rows references is dealt to several tasks. So no task receives all
+    references of one key."""
     key = list(key)
-    _, hot, rest = orphan_keys(refs, key, period, targets, heavy_share)
+    _, hot, rest, most = orphan_keys(refs, key, period, targets, heavy_share)
     light = refs if hot is None else refs.join(F.broadcast(hot), key, "left_anti")
-    out = light.join(rest, key, "left_semi")
+    deals = -(-most // task_rows)
+    if deals > 1:
+        light = light.withColumn("_deal", F.pmod(F.xxhash64(*light.columns), F.lit(deals)))
+        rest = rest.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
+        out = light.join(rest, [*key, "_deal"], "left_semi").drop("_deal")
+    else:
+        out = light.join(rest, key, "left_semi")
     return out if hot is None else out.unionByName(refs.join(F.broadcast(hot), key, "left_semi"))
 
 
@@ -97,7 +109,7 @@ def same_file(c: Column | str) -> Column:
 
 
 def span_references(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    s = distinct_spans(spans)
+    s = cut(distinct_spans(spans), "spans")  # both sides of the references come from it
     refs = s.where("parent_id is not null").select("trace_id", F.col("parent_id").alias("key_id"), "span_id", utc_day("start_time").alias("day"))
     return refs, s.select("trace_id", F.col("span_id").alias("key_id"))
 
@@ -142,7 +154,7 @@ def store_orphan_counts(spans: DataFrame, trace_index: DataFrame, blocks: DataFr
         ("trace_index", index_references(trace_index, blocks), ["block_id"]),
         ("blocks", block_references(blocks, files), ["file"]),
     ):
-        lost, _, _ = orphan_keys(refs, key, "day", targets)
+        lost, *_ = orphan_keys(refs, key, "day", targets)
         one = lost.groupBy("period").agg(F.sum("n").alias("n_orphans"), F.count(F.lit(1)).alias("n_missing_keys")).select(F.lit(name).alias("ref_table"), "period", "n_orphans", "n_missing_keys")
         out = one if out is None else out.unionByName(one)
     return out
