@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from spanloom.operators.filters import Filters, split, where
 from spanloom.sources.schema import TIES
 
 LIMIT, OFFSET = 100, 0
+#: Rows of start_time up to which a page's last row is found by the driver.
+EDGE_ROWS = 10_000
 
 
 @dataclass
@@ -22,12 +24,17 @@ class Result:
     has_more: bool
 
 
-def ordered(spans: DataFrame, order: str = "desc") -> DataFrame:
-    """By start_time, ties by the other plain columns, so that pages never change."""
+def order_columns(spans: DataFrame, order: str = "desc") -> list[Column]:
+    """start_time, then the other plain columns against ties."""
     if order not in ("asc", "desc"):
         raise ValueError(f"order: {order}")
     first = F.col("start_time").desc() if order == "desc" else F.col("start_time").asc()
-    return spans.orderBy(first, *(F.col(c).asc() for c in TIES if c in spans.columns))
+    return [first, *(F.col(c).asc() for c in TIES if c in spans.columns)]
+
+
+def ordered(spans: DataFrame, order: str = "desc") -> DataFrame:
+    """By start_time, ties by the other plain columns, so that pages never change."""
+    return spans.orderBy(*order_columns(spans, order))
 
 
 def page(spans: DataFrame, filters: Filters) -> DataFrame:
@@ -67,23 +74,31 @@ def query(spans: DataFrame, filters: Filters, total: int | None = None) -> Resul
     exact, known = p.get("count_total", True), total
     need = offset + limit + (not exact)
     narrow = where(spans, conds).select("start_time")
-    last = ordered(narrow, order).limit(need)
-    edge = F.min("start_time") if order == "desc" else F.max("start_time")
-    got = last.agg(edge.alias("edge"), F.count(F.lit(1)).alias("n"), F.count("start_time").alias("timed"))
-    if known is not None:
-        got = got.withColumn("total", F.lit(known).cast("long"))
-    elif exact:
-        got = got.crossJoin(narrow.agg(F.count(F.lit(1)).alias("total")))  # one row each
+    if need <= EDGE_ROWS:
+        # the total is counted on the way to the page's last row
+        seen = Observation() if exact and known is None else None
+        got = ordered(narrow if seen is None else narrow.observe(seen, F.count(F.lit(1)).alias("n")), order).limit(max(1, need)).collect()[: max(0, need)]
+        times = [r[0] for r in got if r[0] is not None]
+        n, timed, edge_ = len(got), len(times), times[-1] if times else None
+        total = known if known is not None else seen.get["n"] if exact else n
     else:
-        got = got.withColumn("total", F.least("n", F.lit(need)))
-    r = got.select("edge", "n", "timed", "total").first()
-    edge_, n, total = r["edge"], r["n"], r["total"]
+        last = ordered(narrow, order).limit(need)
+        edge = F.min("start_time") if order == "desc" else F.max("start_time")
+        got = last.agg(edge.alias("edge"), F.count(F.lit(1)).alias("n"), F.count("start_time").alias("timed"))
+        if known is not None:
+            got = got.withColumn("total", F.lit(known).cast("long"))
+        elif exact:
+            got = got.crossJoin(narrow.agg(F.count(F.lit(1)).alias("total")))  # one row each
+        else:
+            got = got.withColumn("total", F.least("n", F.lit(need)))
+        r = got.select("edge", "n", "timed", "total").first()
+        edge_, n, timed, total = r["edge"], r["n"], r["timed"], r["total"]
     if n <= offset or limit <= 0:
         rows = []
     else:
         t = F.col("start_time")
         part = F.lit(False) if edge_ is None else t >= edge_ if order == "desc" else t <= edge_
-        if r["timed"] < n:  # the page reaches spans without start_time
+        if timed < n:  # the page reaches spans without start_time
             part = part | t.isNull()
         part = spans.where(part)
         rows = page(part, [*conds, ("order", order), ("offset", offset), ("limit", limit)]).collect()

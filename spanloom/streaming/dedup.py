@@ -19,8 +19,9 @@ from spanloom.runtime import drop_path, exists, work_path
 DELAY_MS = 6 * 3_600_000
 #: Event time covered by one state value; a value expires as a whole.
 SLICE_MS = 3_600_000
-#: Event time covered by one folder of kept messages.
-SHELF_MS = 6 * 3_600_000
+#: Event time covered by one folder of kept messages: a day in small stores, down to
+#: an hour where a day has many messages.
+SHELF_MS, SHELF_LEAST_MS, SHELF_ROWS = 24 * 3_600_000, 3_600_000, 20_000_000
 #: Messages per bucket of the state, over all slices.
 BUCKET_ROWS = 50_000
 #: A finite table is delivered in at least this many micro-batches, of at most this many rows.
@@ -97,10 +98,10 @@ def _seen(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     yield pd.DataFrame({"h1": h1, "h2": h2, "recv_no": no, "kept_recv_no": kept, "ms": ms, "kind": kind})
 
 
-def _shelve(new: DataFrame, root: str, batch: int) -> None:
+def _shelve(new: DataFrame, root: str, batch: int, shelf_ms: int) -> None:
     """Puts kept messages into the folders of their event times. A repeated batch
     replaces its own folders only."""
-    x = new.select("h1", "h2", "recv_no", floor_div("ms", SHELF_MS).alias("shelf"), F.lit(batch).cast("long").alias("batch"))
+    x = new.select("h1", "h2", "recv_no", floor_div("ms", shelf_ms).alias("shelf"), F.lit(batch).cast("long").alias("batch"))
     x = x.hint("rebalance", "shelf")  # small shelves share a task, a hot one is split by size
     x.write.partitionBy("shelf", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/seen")
 
@@ -114,7 +115,7 @@ def _on_shelves(spark: SparkSession, root: str, shelves: list[int], batch: int)
     return r.parquet(*there).where(F.col("batch") < batch).select("h1", "h2", "recv_no")
 
 
-def _batch_writer(root: str):
+def _batch_writer(root: str, shelf_ms: int = SHELF_MS):
     def write(df: DataFrame, batch: int) -> None:
         """One folder per batch, overwritten when a batch is repeated after a
         failure, as its state is: output and state stay in step."""
@@ -123,7 +124,7 @@ def _batch_writer(root: str):
         df.write.mode("overwrite").partitionBy("kind").parquet(told)
         got = s.read.schema(_OUT).parquet(told)
         new, late = got.where("kind = 'new'"), got.where("kind = 'late'").drop("kind", "kept_recv_no")
-        shelves = [r[0] for r in late.select(floor_div("ms", SHELF_MS)).distinct().collect()]
+        shelves = [r[0] for r in late.select(floor_div("ms", shelf_ms)).distinct().collect()]
         if shelves:  # late-arrival lookup, in the shelves of the late messages' event times
             known = _on_shelves(s, root, shelves, batch).join(late.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("recv_no").alias("known"))
             own = late.groupBy("h1", "h2").agg(F.min(F.struct("recv_no", "ms")).alias("own")).select("h1", "h2", F.col("own.recv_no").alias("own"))
@@ -133,12 +134,12 @@ def _batch_writer(root: str):
             path = f"{root}/late/batch={batch}"
             out.write.mode("overwrite").partitionBy("kind").parquet(path)
             new = new.unionByName(s.read.schema(_OUT).parquet(path).where("kind = 'new'"))
-        _shelve(new, root, batch)
+        _shelve(new, root, batch, shelf_ms)
 
     return write
 
 
-def dedup_stream(messages: DataFrame, root: str, delay_ms: int = DELAY_MS, buckets: int = 64) -> None:
+def dedup_stream(messages: DataFrame, root: str, delay_ms: int = DELAY_MS, buckets: int = 64, shelf_ms: int = SHELF_MS) -> None:
     """Runs a stream of messages (h1, h2: 128 bits of the identifier's hash,
     recv_no, ms: event time, -1 where it has none) to its end; writes below root,
     batch by batch, which messages are new and which are copies.
@@ -155,7 +156,7 @@ def dedup_stream(messages: DataFrame, root: str, delay_ms: int = DELAY_MS, bucke
     slots = -(-delay_ms // SLICE_MS) + 2
     told = messages.select("h1", "h2", "recv_no", "ms").mapInArrow(_router(buckets, slots), _SHAPE).withColumn("event_time", F.timestamp_millis("ms")).withWatermark("event_time", f"{delay_ms} milliseconds")
     told = told.groupBy("bucket", "slot").applyInPandasWithState(_seen, _OUT, "seen binary", "append", GroupStateTimeout.NoTimeout)
-    q = told.writeStream.outputMode("append").foreachBatch(_batch_writer(root)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q = told.writeStream.outputMode("append").foreachBatch(_batch_writer(root, shelf_ms)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -223,7 +224,7 @@ def run_spans(spark: SparkSession, path: str, delay_ms: int = DELAY_MS, steps: i
     n = spans.count()  # from the files' footers
     per = deliver(span_messages(spans), f"{root}/landed", n, steps)
     stream = spark.readStream.schema(f"{_KEPT}, ms bigint").option("maxFilesPerTrigger", per).parquet(f"{root}/landed")
-    dedup_stream(stream, root, delay_ms, max(4, -(-n // BUCKET_ROWS)))
+    dedup_stream(stream, root, delay_ms, max(4, -(-n // BUCKET_ROWS)), max(SHELF_LEAST_MS, SHELF_MS // (1 + n // SHELF_ROWS)))
     drop_path(spark, f"{root}/state")
     drop_path(spark, f"{root}/landed")
     return root
