@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
@@ -43,6 +45,27 @@ def page(spans: DataFrame, filters: Filters) -> DataFrame:
     return ordered(where(spans, conds), p.get("order", "desc")).offset(int(p.get("offset", OFFSET))).limit(int(p.get("limit", LIMIT)))
 
 
+def page_after(spans: DataFrame, filters: Filters, last: Mapping[str, Any]) -> DataFrame:
+    """The page that follows a row: limit spans behind `last` (its start_time and the
+    columns that break ties) in the order. However deep, a page costs as much as the first;
+    offset isn't used. Rows that are the same in all these columns count as one."""
+    p, conds = split(filters)
+    down = p.get("order", "desc") == "desc"
+    rows = where(spans, conds)
+    behind = F.lit(False)
+    for c in reversed([c for c in TIES if c in spans.columns]):  # nulls come first
+        col, v = F.col(c), last[c]
+        after = col.isNotNull() if v is None else col > v
+        behind = after | (col.eqNullSafe(F.lit(v)) & behind)
+    t, v = F.col("start_time"), last["start_time"]
+    same = t.eqNullSafe(F.lit(v).cast("long")) & behind
+    if v is None:
+        far = F.lit(False) if down else t.isNotNull()
+    else:
+        far = ((t < v) | t.isNull()) if down else t > v
+    return ordered(rows.where(F.coalesce(far, F.lit(False)) | F.coalesce(same, F.lit(False))), p.get("order", "desc")).limit(int(p.get("limit", LIMIT)))
+
+
 def page_meta(spans: DataFrame, filters: Filters) -> DataFrame:
     """total, limit, offset, has_more of a page. With count_total False the total
     is what a look at one row past the page tells."""

@@ -17,11 +17,11 @@ from spanloom.operators.filters import where
 from spanloom.plans import payload_sql
 from spanloom.runtime import cut, table, work_path
 from spanloom.sources import otlp
-from spanloom.sources.fixtures import event_spans, order_spans
+from spanloom.sources.fixtures import binary_requests, event_spans, order_spans
 from spanloom.sources.schema import promote, text
 from spanloom.sources.sdk import from_rest
 from spanloom.sources.store import SpanStore
-from spanloom.streaming.ingest import shard, tail
+from spanloom.streaming.ingest import ingest, shard, tail
 
 COLS = ["trace_id", "span_id", "parent_span_id", "name", "kind", "start_time", "end_time", "duration_ns", "status", "status_message"]
 T1, T2 = 820_454_400_000_000_000, 883_612_799_000_000_000
@@ -223,6 +223,62 @@ def _store_page(s, d):
     return s.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time long, end_time long, duration_ns long, status string, status_message string, service string, total long")
 
 
+def _store_early_page(s, d):
+    """A page without total: blocks are read from the newest until no other can change it."""
+    got = _store(s, d).query({"status": "error", "limit": 40, "offset": 5, "count_total": False})
+    return s.createDataFrame([(*(r[c] for c in COLS), r["service_name"], got.has_more) for r in got.entries], "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time long, end_time long, duration_ns long, status string, status_message string, service string, has_more boolean")
+
+
+def _store_retention(s, d):
+    """What is left after a cutoff has every span from then on, and no block of before."""
+    store = _store(s, d).store
+    store.delete_before(T1)
+    store.vacuum(older_than_s=0)
+    m = store.manifest().agg(F.coalesce(F.min("ts_max") >= T1, F.lit(True)).alias("no_older_block"))
+    return store.spans().where(F.col("start_time") >= T1).agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("total_ns")).crossJoin(m)  # one row each
+
+
+def _memory(s, d):
+    e = Engine(s, config=EngineConfig(storage="memory", retention_max_age_s=None))
+    e.ingest(order_spans(s, d).coalesce(4))
+    f = {"kind": "client", "attributes": {"db.system": "redis"}}
+    got = _cols(where(e._spans(f), f))
+    return got
+
+
+def _block_spans(s, d):
+    store = _store(s, d).store
+    return _totals(store.block_spans(store.matching_block_ids()))
+
+
+def _protobuf(s, d):
+    return _cols(promote(otlp.decode_protobuf(binary_requests(order_spans(s, d)))))
+
+
+def _stream_ingest(s, d):
+    """Requests that arrive as a stream, in the store at its end."""
+    path = f"{d}/otlp_payloads.parquet"
+    exact = f"{path[:-1]}[{path[-1]}]"
+    store = SpanStore(s, work_path(s, "streamed"))
+    x = s.readStream.schema(s.read.parquet(path).schema).parquet(exact).select("body")
+    ingest(x, store, work_path(s, "ingest")).awaitTermination()
+    return store.spans().select(*COLS)
+
+
+def _page_after(s, d):
+    """The third page of 30 by the last row of the second, as the offset would give it."""
+    x, f = order_spans(s, d), {"status": "error", "limit": 30}
+    last = None
+    for _ in range(2):
+        last = (S.page(x, f) if last is None else S.page_after(x, f, last)).collect()[-1]
+    return _cols(S.page_after(x, f, last))
+
+
+def _search_range(s, d):
+    f = J.search_filters({"service": "building", "operation": "order", "start": str(T1 // 1000), "end": str(T2 // 1000), "minDuration": "2000ms", "maxDuration": "900000000us", "limit": "70"})
+    return _cols(S.page(order_spans(s, d), f))
+
+
 def _store_concurrent(s, d):
     """Two writers and a compacting third on one store: nothing is lost or doubled."""
     root = work_path(s, "shared")
@@ -326,6 +382,14 @@ QUERIES = {
     "store_services": lambda s, d: _store(s, d).store.services(),
     "store_operations": lambda s, d: S.operations(_store(s, d)._spans({"service": "supplier-3"}), "supplier-3"),
     "store_concurrent": _store_concurrent,
+    "store_early_page": _store_early_page,
+    "store_retention": _store_retention,
+    "store_block_spans": _block_spans,
+    "memory_search": _memory,
+    "otlp_protobuf": _protobuf,
+    "stream_ingest": _stream_ingest,
+    "page_after": _page_after,
+    "jaeger_search_range": _search_range,
     "store_backup": _store_backup,
     "store_counters": _store_counters,
     "block_formats": lambda s, d: _blocks(s, d).select("block_id", B.format_of("file_path").alias("block_format")),
@@ -461,6 +525,12 @@ select status, kind, count(*) n, cast(sum(duration_ns) as bigint) total_ns, min(
     "store_trace": _f(f"trace_id = '{SOME_TRACE}'"),
     "store_search": _f(f"service = 'furniture' and status = 'error' and start_time >= {T1}"),
     "store_page": _s(f"select {_SC}, (select count(*) from s) total from s order by start_time desc, {_ORDER} limit 100"),
+    "store_early_page": _s(f"select {_SC}, true has_more from s where status = 'error' order by start_time desc, {_ORDER} limit 40 offset 5"),
+    "store_retention": _s(f"select count(*) n, cast(sum(duration_ns) as bigint) total_ns, true no_older_block from s where start_time >= {T1}"),
+    "memory_search": _f("kind = 'client' and attr_db_system = 'redis'"),
+    "otlp_protobuf": _s(f"select {_SC} from s"),
+    "page_after": _s(f"select {_SC} from s where status = 'error' order by start_time desc, {_ORDER} limit 30 offset 60"),
+    "jaeger_search_range": _s(f"select {_SC} from s where service = 'building' and contains(lower(concat_ws('|', name, attr_service, attr_http_method, attr_db_system)), 'order') and start_time between {T1} and {T2 // 1000 * 1000} and duration_ns between 2000000000 and 900000000000 order by start_time desc, {_ORDER} limit 70"),
     "store_services": _s("select distinct service from (select service from s) where service is not null"),
     "store_operations": _s("select distinct name operation from s where service = 'supplier-3'"),
     "store_counters": _s("select count(*) n_entries, 2::bigint compactions, true sizes_agree, true smaller from s"),
@@ -472,3 +542,5 @@ select recv_no, cast(list_position({E.KINDS}, kind) - 1 as bigint) kind_code, ca
     "shard_balance": _s("select count(*) n_spans, count(distinct trace_id) n_traces, 4::bigint n_shards, true one_shard_each from s"),
 }
 SQL["store_concurrent"] = SQL["compaction_invariance"]
+SQL["store_block_spans"] = SQL["store_backup"]
+SQL["stream_ingest"] = f"select {', '.join(COLS)} from ({payload_sql.SQL['otlp_decode']})"

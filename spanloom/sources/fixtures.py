@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions.ids import hex_id
 from spanloom.runtime import table
 from spanloom.sources.schema import PROMOTED, RESOURCE_TERMS, SPAN_SCHEMA, variant_map
 
@@ -17,10 +23,6 @@ def ns(c: str):
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c)) * 1000
 
 
-def hex_id(c, width: int):
-    return F.lower(F.lpad(F.hex(c), width, "0"))
-
-
 def _cents(c: str):
     return F.round(F.col(c) * 100).cast("long") * 10_000
 
@@ -120,3 +122,57 @@ def event_spans(spark: SparkSession, d: str) -> DataFrame:
         *(none.alias(c) for c in RESOURCE_TERMS.values()),
     )
     return e.withColumn("end_time", F.col("start_time") + F.col("duration_ns"))
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _field(no: int, v: int | bytes | str) -> bytes:
+    if isinstance(v, int):
+        return _varint(no << 3) + _varint(v)
+    v = v.encode() if isinstance(v, str) else v
+    return _varint(no << 3 | 2) + _varint(len(v)) + v
+
+
+def _time(no: int, ns: int) -> bytes:
+    return _varint(no << 3 | 1) + struct.pack("<Q", ns)
+
+
+def _pair(no: int, key: str, v: int | str | None) -> bytes:
+    return b"" if v is None else _field(no, _field(1, key) + _field(2, _field(3 if isinstance(v, int) else 1, v)))
+
+
+def _request(r: dict) -> bytes:
+    """One span as a binary trace request of its own."""
+    s = _field(1, bytes.fromhex(r["trace_id"])) + _field(2, bytes.fromhex(r["span_id"]))
+    if r["parent_span_id"]:
+        s += _field(4, bytes.fromhex(r["parent_span_id"]))
+    s += _field(5, r["name"]) + _field(6, {"internal": 1, "server": 2, "client": 3}[r["kind"]]) + _time(7, r["start_time"]) + _time(8, r["end_time"])
+    s += _pair(9, "service.name", r["a_service"]) + _pair(9, "http.method", r["a_method"]) + _pair(9, "http.status_code", r["a_code"]) + _pair(9, "db.system", r["a_db"])
+    s += _field(15, (_field(2, r["status_message"]) if r["status_message"] else b"") + _field(3, {"unset": 0, "ok": 1, "error": 2}[r["status"]]))
+    resource = _pair(1, "service.name", r["r_service"]) + _pair(1, "host.name", r["r_host_name"])
+    return _field(1, _field(1, resource) + _field(2, _field(1, _field(1, "lib")) + _field(2, s)))
+
+
+def binary_requests(spans: DataFrame) -> DataFrame:
+    """Spans as bodies of binary trace requests (requests put one after the other are
+    one request); every second body is gzipped."""
+    def text(c: str, key: str, kind: str = "string"):
+        return F.col(c)[key].cast(kind)
+
+    x = spans.select("trace_id", "span_id", "parent_span_id", "name", "kind", "start_time", "end_time", "status", "status_message", "r_host_name", text("attributes", "service.name").alias("a_service"), text("attributes", "http.method").alias("a_method"),
+                     text("attributes", "http.status_code", "bigint").alias("a_code"), text("attributes", "db.system").alias("a_db"), text("resource", "service.name").alias("r_service"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(map(_request, b.to_pylist()))
+            bodies = [b"".join(rows[k : k + 100]) for k in range(0, len(rows), 100)]
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x, 1) if k % 2 else x for k, x in enumerate(bodies)], pa.binary())], ["body"])
+
+    return x.mapInArrow(run, "body binary")

@@ -207,3 +207,15 @@ def test_query_with_spans_without_start(spark):
                 got = S.query(df, f)
                 assert [r.span_id for r in got.entries] == [r.span_id for r in S.page(df, f).collect()], f
                 assert len(got.entries) == max(0, min(limit, 12 - offset)) and got.has_more == (12 > offset + limit)
+
+
+def test_paging_by_the_last_row(spark):
+    df = frame(spark, [(*span(i)[:5], None if i % 4 == 0 else 1000 * (i // 3), *span(i)[6:]) for i in range(23)])
+    for order in ("asc", "desc"):
+        f = {"order": order, "limit": 4}
+        want = [r.span_id for r in S.page(df, {"order": order, "limit": 100}).collect()]
+        got, last = [], None
+        while page := (S.page(df, f) if last is None else S.page_after(df, f, last)).collect():
+            got += [r.span_id for r in page]
+            last = page[-1]
+        assert got == want
