@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spanloom.config import EngineConfig
 from spanloom.operators import blocks as B
 from spanloom.sources.files import Files
-from spanloom.sources.schema import COLUMNS, PROMOTED, RESOURCE_TERMS, SEARCH_TEXT, SPAN_SCHEMA, TIES, from_raw, promote
+from spanloom.sources.schema import COLUMNS, PROMOTED, RESOURCE_TERMS, SEARCH_TEXT, SPAN_SCHEMA, from_raw, promote
 
 FULL_SCHEMA = SPAN_SCHEMA + "".join(f", {c} string" for c in [*PROMOTED.values(), *RESOURCE_TERMS.values(), SEARCH_TEXT])
 MANIFEST = "block_id string, file_path string, byte_size bigint, entry_count bigint, ts_min bigint, ts_max bigint, block_format string, created_at timestamp, deleted_at timestamp, n_terms bigint"
@@ -451,7 +451,7 @@ class SpanStore:
         try:
             src = self._read(t, strict=True)
             src = src.repartitionByRange(parts, "start_time") if parts > 1 else src.coalesce(1)
-            new = self._write(src.sortWithinPartitions("start_time", *TIES), fmt)
+            new = self._write(src.sortWithinPartitions("start_time"), fmt)
         except Exception as e:
             raise CorruptBlock(str(e)[:200]) from e
         segments = sorted({r["segment"] for r in new})
