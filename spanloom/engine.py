@@ -21,10 +21,6 @@ from spanloom.streaming.buffer import Buffer
 from spanloom.streaming.ingest import shard
 
 
-#: Blocks of a trace up to this size are read and sorted by one task.
-ONE_TASK_BYTES = 64 << 20
-
-
 class Engine:
     """A store in config.data_dir or root. Use it as it is, or start() it for flushing,
     compaction, merging and retention in the background until stop()."""
@@ -144,14 +140,7 @@ class Engine:
     def trace(self, trace_id: str | bytes | int) -> DataFrame:
         """A trace's spans, from the blocks that its postings name."""
         keys = lookup_keys(trace_id)
-        if self.memory:
-            return S.trace(self._held(), *keys)
-        t = self.store.trace_blocks(keys)
-        spans = self.store._read(t)
-        if (pc.sum(t["byte_size"]).as_py() or 0) <= ONE_TASK_BYTES:
-            spans = spans.where(spans["trace_id"].isin(*keys)).coalesce(1)  # sorted without a shuffle
-            return spans.sortWithinPartitions(*S.order_columns(spans, "asc"))
-        return S.trace(spans, *keys)
+        return S.trace(self._held(), *keys) if self.memory else self.store.trace(keys)
 
     def services(self) -> list[str]:
         return [r[0] for r in self.store.services().collect()]

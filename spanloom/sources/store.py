@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import EngineConfig
 from spanloom.operators import blocks as B
+from spanloom.operators.search import order_columns
 from spanloom.sources.files import Files
 from spanloom.sources.schema import COLUMNS, PROMOTED, RESOURCE_TERMS, SEARCH_TEXT, SPAN_SCHEMA, from_raw, promote
 
@@ -38,6 +39,10 @@ CHECKPOINT_EVERY = 20
 SIGNATURE_BITS, TERM_BITS, SIGNATURE_FULL = 1024, 3, 700
 #: Segments up to which a trace is looked up by the driver; beyond it by a job.
 DIRECT_SEGMENTS = 32
+#: Ranges of start_time that are told apart in the lookup of a trace.
+MOST_RANGES = 64
+#: Blocks of a trace up to this size are read by one task.
+ONE_TASK_BYTES = 64 << 20
 #: Rows of trace postings in one file.
 POSTING_ROWS = 2_000_000
 
@@ -251,7 +256,8 @@ class SpanStore:
 
         def postings() -> None:
             parts = 1 + sum(n for _, n, _ in self.files.listing(folder)) // (POSTING_ROWS * 32)
-            got = keyed.where("trace_id is not null").select("trace_id", "block_id").distinct().repartitionByRange(parts, "trace_id").sortWithinPartitions("trace_id", "block_id")
+            got = keyed.where("trace_id is not null").groupBy("trace_id", "block_id").agg(F.min("start_time").alias("lo"), F.max("start_time").alias("hi"), F.count_if(F.col("start_time").isNull()).alias("untimed"))
+            got = got.repartitionByRange(parts, "trace_id").sortWithinPartitions("trace_id", "block_id")
             got.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(f"{index}/traces")
 
         with ThreadPoolExecutor(2) as pool:
@@ -402,9 +408,11 @@ class SpanStore:
         """Distinct services, from the index."""
         return B.term_values(self.term_index(), "service.name").select(F.col("value").alias("service")).distinct().orderBy("service")
 
-    def trace_blocks(self, keys: Sequence[str]) -> pa.Table:
-        """Blocks with spans of the traces called keys, by the postings. Blocks that
-        came without postings are always among them."""
+    def postings(self, keys: Sequence[str]) -> tuple[pa.Table, list[tuple[int | None, int | None, int]] | None]:
+        """Blocks with spans of the traces called keys, and in which ranges of start_time
+        these spans lie (first, last, number of spans without start_time), by what was
+        written with the blocks. Blocks that came without postings are always among
+        them; then there are no ranges."""
         self.refresh()
         t = self.live()
         lists = {}
@@ -413,16 +421,21 @@ class SpanStore:
                 lists[s] = p
         files = [f"{self.root}/index/{s}/traces/{n}" for s, p in lists.items() for n in p.split(",") if n]
         if not files:
-            found = set()
+            found = []
         elif len(files) <= DIRECT_SEGMENTS:
-            found = {b for f in files for k in keys for b in self._postings(f, k)}
+            found = [x for f in files for k in keys for x in self._look_up(f, k)]
         else:
-            r = self.spark.read.schema("trace_id string, block_id string").parquet(*files)
-            found = {x[0] for x in r.where(F.col("trace_id").isin(list(keys))).select("block_id").distinct().collect()}
-        return t.filter(pc.or_(pc.is_null(t["postings"]), pc.is_in(t["block_id"], pa.array(sorted(found), pa.string()))))
+            r = self.spark.read.schema("trace_id string, block_id string, lo bigint, hi bigint, untimed bigint").parquet(*files)
+            found = [tuple(x) for x in r.where(F.col("trace_id").isin(list(keys))).select("block_id", "lo", "hi", "untimed").collect()]
+        ids = pa.array(sorted({x[0] for x in found}), pa.string())
+        t = t.filter(pc.or_(pc.is_null(t["postings"]), pc.is_in(t["block_id"], ids)))
+        return t, None if t["postings"].null_count else [x[1:] for x in found]
+
+    def trace_blocks(self, keys: Sequence[str]) -> pa.Table:
+        return self.postings(keys)[0]
 
-    def _postings(self, path: str, key: str) -> list[str]:
-        """Blocks of one trace in one file of postings: its footer and the pages that can hold the key."""
+    def _look_up(self, path: str, key: str) -> list[tuple]:
+        """Postings of one trace in one file: its footer and the pages that can hold the key."""
         q = self.spark.sparkContext._jvm.org.apache.parquet
         eq = q.filter2.predicate.FilterApi.eq(q.filter2.predicate.FilterApi.binaryColumn("trace_id"), q.io.api.Binary.fromString(key))
         b = q.hadoop.ParquetReader.builder(q.hadoop.example.GroupReadSupport(), self.files.path(path))
@@ -430,14 +443,29 @@ class SpanStore:
         try:
             out = []
             while (g := r.read()) is not None:
-                out.append(g.getString("block_id", 0))
+                lo, hi = ((g.getLong(c, 0) if g.getFieldRepetitionCount(c) else None) for c in ("lo", "hi"))
+                out.append((g.getString("block_id", 0), lo, hi, g.getLong("untimed", 0)))
             return out
         finally:
             r.close()
 
     def trace(self, keys: Sequence[str]) -> DataFrame:
-        """Spans of the blocks that can hold the traces called keys."""
-        return self._read(self.trace_blocks(keys))
+        """Spans of the traces called keys by start_time, from the pages of their blocks that
+        the postings' ranges of start_time leave. Blocks are sorted by it."""
+        t, ranges = self.postings(keys)
+        got = self._read(t).where(F.col("trace_id").isin(list(keys)))
+        if ranges:
+            at = F.col("start_time")
+            timed = [(a, b) for a, b, _ in ranges if a is not None]
+            if len(timed) > MOST_RANGES:
+                timed = [(min(a for a, _ in timed), max(b for _, b in timed))]
+            cond = F.lit(False)
+            for a, b in timed:
+                cond = cond | at.between(a, b)
+            got = got.where(cond | at.isNull() if any(n for *_, n in ranges) else cond)
+        by = order_columns(got, "asc")
+        few = (pc.sum(t["byte_size"]).as_py() or 0) <= ONE_TASK_BYTES
+        return got.coalesce(1).sortWithinPartitions(*by) if few else got.orderBy(*by)  # one task sorts without a shuffle
 
     # --- maintenance
 
