@@ -214,7 +214,7 @@ def _blocks(path: str) -> Iterator[Items]:
     """The blocks below path, one at a time."""
     from pyarrow import fs
 
-    where, p = fs.FileSystem.from_uri(path)
+    where, p = fs.FileSystem.from_uri(path.removeprefix("file://").removeprefix("file:"))
     for f in sorted(x.path for x in where.get_file_info(fs.FileSelector(p)) if x.base_name.startswith("part-")):
         with where.open_input_file(f) as src:
             for batch in pq.ParquetFile(src).iter_batches(batch_size=1):
