@@ -14,6 +14,11 @@ def _store(spark, d):
     return (table(spark, d, x) for x in ("spans", "trace_index", "blocks", "block_files"))
 
 
+def _part(spark, d):
+    """A fiftieth of the spans: the largest trace holds several times as many."""
+    return max(50, table(spark, d, "spans").count() // 50)
+
+
 def _ranges(spark, d, **k):
     """Each span's place in its trace and the places of its descendants."""
     got = hierarchy.span_hierarchy(table(spark, d, "spans"), ranges=True, **k)
@@ -40,16 +45,16 @@ QUERIES = {
     "p3_paths": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), path=True).withColumn("path", F.concat_ws("/", "path")),
     "p3_descendants": lambda s, d: _ranges(s, d),
     # the way of groups that no task may hold whole, compared with the same SQL
-    "p3_blocks_found": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), group_rows=200),
-    "p3_blocks_paths": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), path=True, group_rows=200).withColumn("path", F.concat_ws("/", "path")),
-    "p3_blocks_descendants": lambda s, d: _ranges(s, d, group_rows=200),
+    "p3_blocks_found": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), group_rows=_part(s, d)),
+    "p3_blocks_paths": lambda s, d: hierarchy.span_hierarchy(table(s, d, "spans"), path=True, group_rows=_part(s, d)).withColumn("path", F.concat_ws("/", "path")),
+    "p3_blocks_descendants": lambda s, d: _ranges(s, d, group_rows=_part(s, d)),
     "p5_found": lambda s, d: dedup.span_copies(s, f"{d}/spans.parquet"),
     "p5_kept": lambda s, d: dedup.span_kept(s, f"{d}/spans.parquet").select("recv_no", "trace_id", "span_id", "name"),
     "p5_batches": lambda s, d: dedup.stream_totals(s, f"{d}/spans.parquet"),
     "p6_found": lambda s, d: intervals.trace_gaps(table(s, d, "spans")),
     "p6_periods": lambda s, d: intervals.trace_periods(table(s, d, "spans")),
-    "p6_sliced_gaps": lambda s, d: intervals.trace_gaps(table(s, d, "spans"), 100),
-    "p6_sliced_periods": lambda s, d: intervals.trace_periods(table(s, d, "spans"), 100),
+    "p6_sliced_gaps": lambda s, d: intervals.trace_gaps(table(s, d, "spans"), _part(s, d)),
+    "p6_sliced_periods": lambda s, d: intervals.trace_periods(table(s, d, "spans"), _part(s, d)),
 }
 
 _ID = "nullif(lower(trim({0}, chr(32)||chr(9)||chr(10)||chr(13))), '')"
