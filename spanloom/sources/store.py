@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -109,7 +110,7 @@ class SpanStore:
         self.files = Files(spark, self.root)
         self.note = note or (lambda event, **what: None)
         self.version, self._t, self._count = 0, _STATE.empty_table(), dict(_COUNTERS)
-        self._loaded = False
+        self._loaded, self._lock = False, threading.RLock()
 
     # --- the log
 
@@ -118,12 +119,13 @@ class SpanStore:
 
     def refresh(self) -> int:
         """Reads what the log has that isn't known yet; the current version's number."""
-        if not self._loaded:
-            self._open()
-        while (text := self.files.read(self._log(self.version + 1))) is not None:
-            self._apply(text)
-            self.version += 1
-        return self.version
+        with self._lock:  # threads share a store
+            if not self._loaded:
+                self._open()
+            while (text := self.files.read(self._log(self.version + 1))) is not None:
+                self._apply(text)
+                self.version += 1
+            return self.version
 
     def _open(self) -> None:
         hint = self.files.read(f"{self.root}/log/checkpoint")
@@ -168,9 +170,11 @@ class SpanStore:
     def _commit(self, change: Callable[[pa.Table], dict | None]) -> bool:
         """Appends change(live blocks) to the log; on a lost race it is asked again.
         A change of None ends without one."""
+        lost = 0
         while True:
-            n = self.refresh() + 1
-            got = change(self.live())
+            with self._lock:
+                n, live = self.refresh() + 1, self.live()
+            got = change(live)
             if got is None:
                 return False
             entry = {"format": VERSION, "add": [], "remove": [], "forget": [], "counters": {}, "us": time.time_ns() // 1000} | got
@@ -179,10 +183,15 @@ class SpanStore:
                 if n % CHECKPOINT_EVERY == 0:
                     self.checkpoint()
                 return True
+            if not self.files.exists(self._log(n)):  # no other writer was faster
+                lost += 1
+                if lost > 10:
+                    raise OSError(f"{self._log(n)} can't be written")
             time.sleep(random.uniform(0, 0.05))
 
     def checkpoint(self) -> None:
-        t, n, counters = self._t, self.version, dict(self._count)
+        with self._lock:
+            t, n, counters = self._t, self.version, dict(self._count)
         path = f"log/{n:020d}-{uuid.uuid4().hex}.parquet"
         if not t.num_rows:
             return

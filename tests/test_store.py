@@ -102,7 +102,8 @@ def test_writers_lose_nothing(spark, store):
         except Exception as e:
             failed.append(e)
 
-    threads = [threading.Thread(target=write, args=(s, lo)) for s, lo in ((store, 0), (other, 400))]
+    # the first two share one store object
+    threads = [threading.Thread(target=write, args=(s, lo)) for s, lo in ((store, 0), (store, 400), (other, 800))]
     for t in threads:
         t.start()
     third = SpanStore(spark, store.root, CONF)
@@ -110,18 +111,19 @@ def test_writers_lose_nothing(spark, store):
         third.compact(force=True)
     for t in threads:
         t.join()
-    assert not failed and sum(acked) == 800
+    assert not failed and sum(acked) == 1200
     got = [r.span_id for r in store.spans().select("span_id").collect()]
-    assert sorted(got) == sorted(f"s{i:03d}" for i in range(800))
+    assert sorted(got) == sorted(f"s{i:03d}" for i in range(1200))
+    assert store.spans().count() == other.spans().count() == 1200
     # two compactions of the same blocks: one of them wins
-    put(spark, store, 900, 905)
+    put(spark, store, 1900, 1905)
     results = []
     pair = [threading.Thread(target=lambda s=s: results.append(s.compact(force=True))) for s in (store, other)]
     for t in pair:
         t.start()
     for t in pair:
         t.join()
-    assert "ok" in results and SpanStore(spark, store.root, CONF).spans().count() == 805
+    assert "ok" in results and SpanStore(spark, store.root, CONF).spans().count() == 1205
 
 
 def test_open_reader_outlives_compaction_until_vacuum(spark, store):
