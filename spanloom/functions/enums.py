@@ -13,7 +13,7 @@ STATUSES = ["ok", "error", "unset"]
 def _enum(c: Column | str, prefix: str, known: list[str], default: str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     v = F.regexp_replace(F.lower(F.trim(c)), f"^{prefix}", "")
-    return F.when(v.isin(known), v).otherwise(F.lit(default))
+    return F.when(c.isin(known), c).when(v.isin(known), v).otherwise(F.lit(default))  # most are spelt as they should be
 
 
 def norm_kind(c: Column | str) -> Column:

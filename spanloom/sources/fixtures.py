@@ -27,9 +27,14 @@ def _cents(c: str):
     return F.round(F.col(c) * 100).cast("long") * 10_000
 
 
-def order_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as root spans, their lines as children, with promoted columns."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+def order_spans(spark: SparkSession, d: str, piece: tuple[int, int] | None = None) -> DataFrame:
+    """Orders as root spans, their lines as children, with promoted columns. piece:
+    (i, n) for the i-th of n pieces, with whole traces in each."""
+    def part(name: str, key: str) -> DataFrame:
+        t = table(spark, d, name)
+        return t if piece is None else t.where(F.pmod(F.xxhash64(key), F.lit(piece[1])) == piece[0])
+
+    o = part("orders", "o_orderkey").join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
     st = F.col("o_orderstatus")
     roots = o.select(
@@ -49,8 +54,9 @@ def order_spans(spark: SparkSession, d: str) -> DataFrame:
         F.lit("gateway").alias("r_service"),
         F.concat(F.lit("host-"), (F.col("o_custkey") % 5).cast("string")).alias("r_host"),
     )
+    roots = roots.withColumn("attributes", variant_map(service__name=F.col("a_service"), http__method=F.col("a_method"), http__status_code=F.col("a_code")))
     flag = F.col("l_returnflag")
-    lines = table(spark, d, "lineitem").select(
+    lines = part("lineitem", "l_orderkey").select(
         hex_id(F.col("l_orderkey"), 32),
         hex_id(F.col("l_orderkey") * 16 + F.col("l_linenumber"), 16),
         hex_id(F.col("l_orderkey") * 16, 16),
@@ -63,11 +69,11 @@ def order_spans(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string"),
         F.lit(None).cast("string"),
         F.lit(None).cast("long"),
-        F.when(flag == "A", "postgresql").when(flag == "N", "redis").otherwise("mysql"),
+        F.when(flag == "A", "postgresql").when(flag == "N", "redis").otherwise("mysql").alias("a_db"),
         F.concat(F.lit("supplier-"), (F.col("l_suppkey") % 10).cast("string")),
         F.concat(F.lit("host-"), (F.col("l_partkey") % 5).cast("string")),
     )
-    s = roots.union(lines)
+    s = roots.union(lines.withColumn("attributes", variant_map(db__system=F.col("a_db"))))
     none = F.lit(None).cast("string")
     promoted = {
         "service.name": F.coalesce("a_service", "r_service"),
@@ -87,7 +93,7 @@ def order_spans(spark: SparkSession, d: str) -> DataFrame:
         "duration_ns",
         "status",
         "status_message",
-        variant_map(service__name=F.col("a_service"), http__method=F.col("a_method"), http__status_code=F.col("a_code"), db__system=F.col("a_db")).alias("attributes"),
+        "attributes",
         F.array().cast(_KINDS["events"]).alias("events"),
         variant_map(service__name=F.col("r_service"), host__name=F.col("r_host")).alias("resource"),
         F.lit(None).cast(_KINDS["instrumentation_scope"]).alias("instrumentation_scope"),

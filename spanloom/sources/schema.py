@@ -55,10 +55,20 @@ def promote(spans: DataFrame) -> DataFrame:
 
 def variant_map(**values: Column) -> Column:
     """A map of the values that aren't null; a key's dots are written __."""
-    parts = []
-    for k, v in values.items():
-        parts += [F.lit(k.replace("__", ".")), v.cast("variant")]
-    return F.map_filter(F.create_map(*parts), lambda _, v: v.isNotNull())
+    pairs = {k.replace("__", "."): v.cast("variant") for k, v in values.items()}
+
+    def made(keys: list[str]) -> Column:
+        return F.create_map(*(x for k in keys for x in (F.lit(k), pairs[k]))).cast("map<string,variant>")
+
+    if len(pairs) > 2:
+        return F.map_filter(made(list(pairs)), lambda _, v: v.isNotNull())
+    out = made([])  # few values: by cases, without a call per entry
+    for keys in [[k] for k in pairs] + [list(pairs)] * (len(pairs) == 2):
+        there = F.lit(True)
+        for k in keys:
+            there = there & pairs[k].isNotNull()
+        out = F.when(there, made(keys)).otherwise(out)
+    return out
 
 
 def from_raw(raw: DataFrame) -> DataFrame:

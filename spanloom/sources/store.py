@@ -88,6 +88,20 @@ def _signature(bits: list[int]) -> str | None:
     return None if len(bits) > SIGNATURE_FULL else f"{sum(1 << b for b in bits):x}"
 
 
+def _by_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """df in partitions that follow each other by key, nulls in the first. The bounds
+    come from the key's column alone: repartitionByRange goes through all columns twice."""
+    shares = [i / parts for i in range(1, parts)]
+    bounds = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * parts))).first()[0]
+    bounds = sorted(set(bounds or []))
+    if not bounds:
+        return df.coalesce(1)
+    at = F.array(*(F.lit(b).cast("long") for b in bounds))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    below = F.aggregate(steps, F.lit(0), lambda n, k: F.when(F.get(at, n + k - 1) < F.col(key), n + k).otherwise(n))  # bounds below the key
+    return df.repartitionById(len(bounds) + 1, below)
+
+
 class SpanStore:
     """Blocks below root/blocks, their terms and trace postings below root/index, and
     root/log: one small file per change, numbered without gaps.
@@ -264,9 +278,17 @@ class SpanStore:
             return r.select("block_id", "byte_size", "entry_count", "ts_min", "ts_max", F.size("terms").alias("n_terms"), _signature_bits(F.col("terms")).alias("bits")).collect()
 
         def postings() -> None:
-            parts = 1 + sum(n for _, n, _ in self.files.listing(folder)) // (POSTING_ROWS * 32)
-            got = keyed.where("trace_id is not null").groupBy("trace_id", "block_id").agg(F.min("start_time").alias("lo"), F.max("start_time").alias("hi"), F.count_if(F.col("start_time").isNull()).alias("untimed"))
-            got = got.repartitionByRange(parts, "trace_id").sortWithinPartitions("trace_id", "block_id")
+            there = [(n, size) for n, size, _ in self.files.listing(folder) if n.startswith("part-")]
+            parts = 1 + sum(size for _, size in there) // (POSTING_ROWS * 32)
+            # blocks go through shuffles and sorting by a hash of their name, which takes an eighth of its bytes;
+            # two names of one hash would only name a block too many
+            names = self.spark.createDataFrame(pa.table({"name": pa.array([n for n, _ in there], pa.string())}))
+            names = names.select(F.concat(F.lit(f"{segment}/"), "name").alias("block_id"), F.xxhash64("name").alias("no"))
+            got = keyed.where("trace_id is not null").groupBy("trace_id", F.xxhash64(m["file_name"]).alias("no"))
+            got = got.agg(F.min("start_time").alias("lo"), F.max("start_time").alias("hi"), F.count_if(F.col("start_time").isNull()).alias("untimed"))
+            # a lookup opens each file anyway, so they needn't be ranges of traces, which took another shuffle
+            got = got.coalesce(parts).sortWithinPartitions("trace_id", "no")
+            got = got.join(F.broadcast(names), "no").select("trace_id", "block_id", "lo", "hi", "untimed")  # one short row per block
             got.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(f"{index}/traces")
 
         with ThreadPoolExecutor(2) as pool:
@@ -487,7 +509,7 @@ class SpanStore:
         new: list[dict] = []
         try:
             src = self._read(t, strict=True)
-            src = src.repartitionByRange(parts, "start_time") if parts > 1 else src.coalesce(1)
+            src = _by_ranges(src, "start_time", parts) if parts > 1 else src.coalesce(1)
             new = self._write(src.sortWithinPartitions("start_time"), fmt)
         except Exception as e:
             raise CorruptBlock(str(e)[:200]) from e

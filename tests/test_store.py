@@ -17,10 +17,11 @@ from spanloom.engine import Engine
 from spanloom.functions.enums import kind_code, kind_name, status_code, status_name
 from spanloom.functions.ids import binary_hex, lookup_keys, pack_id, span_hex, trace_hex
 from spanloom.operators import blocks as B
+from spanloom.plans import span_queries as Q
 from spanloom.sources.http import handle, serve
 from spanloom.sources.otlp import decode_json, decode_protobuf, parse_protobuf
 from spanloom.sources.sdk import Exporter, from_rest
-from spanloom.sources.store import CorruptBlock, SpanStore, UnknownVersion, _signature_bits, signature_of
+from spanloom.sources.store import CorruptBlock, SpanStore, UnknownVersion, _by_ranges, _signature_bits, signature_of
 from spanloom.streaming.buffer import Buffer
 from spanloom.streaming.ingest import ingest, payload_stream, shard, tail
 from test_search import SHAPE, frame, span
@@ -150,6 +151,33 @@ def test_checkpoints_and_versions(spark, store, tmp_path):
         again.refresh()
 
 
+def test_store_queries_write_by_as_many_tasks_as_there_are_parts(spark, data, tmp_path):
+    for name in ("orders", "lineitem", "customer"):
+        spark.read.parquet(f"{data}/{name}.parquet").repartition(6).write.parquet(str(tmp_path / f"{name}.parquet"))
+    store = Q._store(spark, str(tmp_path)).store
+    assert store.manifest().where("block_format = 'raw'").count() >= 6  # was 2 of any input
+    x = Q.order_spans(spark, data)
+    assert rows(store.spans().select("trace_id", "span_id", "start_time", "service_name", "p_db_system")) == rows(x.select("trace_id", "span_id", "start_time", "service_name", "p_db_system"))
+    pairs = store.spans().withColumn("block_id", F.regexp_extract(F.col("_metadata.file_path"), "blocks/([^/]+/[^/]+)$", 1))
+    pairs = pairs.groupBy("trace_id", "block_id").agg(F.min("start_time").alias("lo"), F.max("start_time").alias("hi"))
+    live = store.live()
+    index = spark.read.parquet(*{f"{store.root}/index/{s}/traces" for s in live["segment"].to_pylist()})
+    assert rows(index.select("trace_id", "block_id", "lo", "hi")) == rows(pairs)
+
+
+def test_ranges_follow_each_other_and_hold_all(spark):
+    x = spark.range(0, 4000, 1, 5).select(F.when(F.col("id") % 100 > 0, F.pmod(F.xxhash64("id"), F.lit(10**12))).alias("k"), F.col("id").alias("v"))
+    got = _by_ranges(x, "k", 13)
+    assert "rangepartitioning" not in got._jdf.queryExecution().toString().lower()  # would go through all columns to find its bounds
+    assert rows(got) == rows(x)
+    parts = got.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"), F.count_if(F.col("k").isNull()).alias("none")).orderBy("p").collect()
+    assert len(parts) == 13 and all(a.hi < b.lo for a, b in zip(parts, parts[1:], strict=False)) and max(r.n for r in parts) < 500
+    assert [r.none for r in parts] == [40, *[0] * 12]
+    for same in (F.lit(7).cast("long"), F.lit(None).cast("long")):
+        y = x.withColumn("k", same)
+        assert rows(_by_ranges(y, "k", 5)) == rows(y)
+
+
 def test_a_store_of_the_first_format_is_taken_over(spark, store, tmp_path):
     put(spark, store, 0, 5)
     old = tmp_path / "old"
